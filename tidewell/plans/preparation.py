@@ -30,9 +30,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""
 with r as (select source_id, source_subunit, period_start, value, {_GRAIN.format("temporal_resolution_normalized")} g from modeling_series),
+n as (select source_id, source_subunit, g, count(*) c from r where g is not null group by all),
 v as (select source_id, source_subunit, g, row_number() over (partition by source_id, source_subunit
-        order by count(*) desc, case g when 'day' then 1 when 'week' then 2 when 'month' then 3 when 'quarter' then 4 else 5 end) k
-      from r where g is not null group by all),
+        order by c desc, case g when 'day' then 1 when 'week' then 2 when 'month' then 3 when 'quarter' then 4 else 5 end) k from n),
 u as (select distinct r.source_id, r.source_subunit, v.g, cast(date_trunc(v.g, r.period_start) as date) p
       from r join v on v.k = 1 and v.source_id is not distinct from r.source_id and v.source_subunit is not distinct from r.source_subunit
       where r.value is not null and not isnan(r.value) and r.period_start is not null),
