@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.operators import regular_grid as grid
+from tidewell.operators import spikes
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: grid.missing_periods(table(s, d, "modeling_series")),
         "p1_regular_grid": lambda s, d: grid.regular_grid(table(s, d, "modeling_series")),
+        "p5_found": lambda s, d: spikes.implausible_readings(table(s, d, "modeling_series")).select("observation_id"),
     }
 
 
