@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.operators import intervals, spikes, units
+from tidewell.operators import drift, intervals, spikes, units
 from tidewell.operators import regular_grid as grid
 from tidewell.sources.tables import table
 
@@ -28,6 +29,8 @@ def queries() -> dict[str, Query]:
         "p2_units": lambda s, d: units.harmonise(table(s, d, "silver_observation"), table(s, d, "unit_reference")),
         "p3_found": lambda s, d: intervals.gaps(table(s, d, "silver_observation")),
         "p3_periods": lambda s, d: intervals.sweep(intervals.closed_intervals(table(s, d, "silver_observation"), "dataset_id")).withColumnRenamed("entity", "dataset_id"),
+        "p4_found": lambda s, d: drift.schema_changes(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")),
+        "p4_unified_rows": lambda s, d: drift.unified_rows(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")).withColumn("values", F.to_json("values")),
         "p5_found": lambda s, d: spikes.implausible_readings(table(s, d, "modeling_series")).select("observation_id"),
     }
 
