@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import leaks, places, survivors
+from tidewell.llm import leaks, places, survivors, truncation
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,9 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: survivors.duplicate_groups(table(s, d, "research_panel_observation"), table(s, d, "place_reference")),
         "p9_found": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_item")),
         "p9_leaks": lambda s, d: leaks.test_leaks(table(s, d, "documents"), table(s, d, "eval_item")),
+        "p10_found": lambda s, d: truncation.cut_texts(table(s, d, "documents")),
+        "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
+        "p10_limits": lambda s, d: truncation.length_limits(table(s, d, "documents")),
     }
 
 
