@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import leaks, places, survivors, truncation
+from tidewell.llm import leaks, packing, places, survivors, truncation
 from tidewell.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "p6_found": lambda s, d: places.free_entries(table(s, d, "silver_observation"), table(s, d, "place_reference")),
         "p7_found": lambda s, d: survivors.duplicate_groups(table(s, d, "research_panel_observation"), table(s, d, "place_reference")),
+        "p8_containers": lambda s, d: packing.pack(table(s, d, "documents"), table(s, d, "pack_capacity")),
+        "p8_fill": lambda s, d: packing.fill_report(packing.pack(table(s, d, "documents"), table(s, d, "pack_capacity")), table(s, d, "pack_capacity")),
         "p9_found": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_item")),
         "p9_leaks": lambda s, d: leaks.test_leaks(table(s, d, "documents"), table(s, d, "eval_item")),
         "p10_found": lambda s, d: truncation.cut_texts(table(s, d, "documents")),
