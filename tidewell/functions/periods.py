@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions import text
+
 RESOLUTIONS = ("day", "week", "month", "quarter", "year")
 
 # Words by which sources state a resolution.
@@ -20,7 +22,7 @@ RESOLUTION_WORDS = {
 
 def resolution(word: Column) -> Column:
     """One of RESOLUTIONS for a word in any case and spacing; null for null, empty or unknown words."""
-    w = F.lower(F.trim(word))
+    w = F.lower(text.clean(word))
     out = F.when(w.isin(*RESOLUTION_WORDS["day"]), "day")
     for name in RESOLUTIONS[1:]:
         out = out.when(w.isin(*RESOLUTION_WORDS[name]), name)

@@ -66,7 +66,7 @@ METRIC = "^(" + "|".join(sorted((n for names in QUANTITY_NAMES.values() for n in
 
 def spelling(unit: Column) -> Column:
     """A unit in lower case with single spaces, without separators in numbers and a closing dot; null if blank."""
-    u = F.regexp_replace(F.lower(unit), r"[\s_ ]+", " ")
+    u = F.regexp_replace(F.lower(unit), r"[\s_\u00a0]+", " ")
     u = F.regexp_replace(u, r"(?<=\d)[., ](?=\d{3})", "")
     u = F.rtrim(F.regexp_replace(F.trim(u), r"\.$", ""))
     return F.when(u != "", u)

@@ -98,7 +98,7 @@ union all select 'observation_without_dataset', count(*) from silver_observation
 union all select 'record_without_dataset', count(*) from bronze_record s where not exists (select 1 from metadata_dataset b where b.dataset_id = s.dataset_id)
 union all select 'reversed_period', count(*) from silver_observation where period_end < period_start
 union all select 'repeated_record_hash', count(*) from (select record_hash from silver_observation group by 1 having count(*) > 1)
-union all select 'value_not_finite', count(*) from silver_observation where isnan(value_numeric) or isinf(value_numeric)""",
+union all select 'value_not_finite', count(*) from silver_observation where not isfinite(value_numeric)""",
         "conflict_quarantine": 'select source_record, province, year, metric, count(distinct value) as distinct_values, count(*) as "rows" from research_panel_observation group by 1, 2, 3, 4 having count(distinct value) > 1',
         "dedup_keep_last": "select source_record, province, year, metric, observation_key, value from (select *, row_number() over (partition by source_record, province, year, metric order by retrieved_at desc nulls last, observation_key desc) k from research_panel_observation) where k = 1",
         "upsert_newest": "select dataset_name, loaded_at, dataset_id from (select *, row_number() over (partition by dataset_name order by loaded_at desc, storage_format <> 'csv' desc, dataset_id desc) k from metadata_dataset) where k = 1",

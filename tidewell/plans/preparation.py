@@ -78,7 +78,7 @@ n as (select o.*, coalesce(a1.code, a2.code, a3.code, a4.code) code,
   case when a1.code is not null then 'field' when a2.code is not null then 'text' when a3.code is not null then 'note' when a4.code is not null then 'metric' end origin from o
   left join alias a1 on a1.quantity = o.quantity and a1.spelling = u1 left join alias a2 on a2.quantity = o.quantity and a2.spelling = u2
   left join alias a3 on a3.quantity = o.quantity and a3.spelling = u3 left join alias a4 on a4.quantity = o.quantity and a4.spelling = u4),
-s as (select *, case when code is not null or v is null or isnan(v) or isinf(v) or v = 0 then null
+s as (select *, case when code is not null or v is null or not isfinite(v) or v = 0 then null
   when quantity = 'cases' and v <> round(v) then 'thousand_cases'
   when quantity = 'mean_temperature' and not v between -40 and 50 then case when (v - 32) / 1.8 between -40 and 50 then 'fahrenheit' when v - 273.15 between -40 and 50 then 'kelvin' end
   when quantity = 'area' and v > 2e6 then case when abs(ln(v * 0.01 / 500)) < abs(ln(v * 0.000001 / 500)) and v * 0.01 <= 2e6 then 'ha' else 'm2' end
@@ -105,7 +105,7 @@ v as (select source_id, source_subunit, g, row_number() over (partition by sourc
         order by c desc, case g when 'day' then 1 when 'week' then 2 when 'month' then 3 when 'quarter' then 4 else 5 end) k from n),
 u as (select distinct r.source_id, r.source_subunit, v.g, cast(date_trunc(v.g, r.period_start) as date) p
       from r join v on v.k = 1 and v.source_id is not distinct from r.source_id and v.source_subunit is not distinct from r.source_subunit
-      where r.value is not null and not isnan(r.value) and r.period_start is not null),
+      where cast(r.value as varchar) <> 'nan' and r.period_start is not null),
 b as (select source_id, source_subunit, g, min(p) a, max(p) z from u group by all),
 e as (select source_id, source_subunit, cast(unnest(generate_series(cast(a as timestamp), cast(z as timestamp),
         case g when 'day' then interval 1 day when 'week' then interval 7 day when 'month' then interval 1 month when 'quarter' then interval 3 month else interval 1 year end)) as date) p from b)
