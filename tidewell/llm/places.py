@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import clean
+
 # Kinds of place by level, with the ways to write them.
 KINDS = {
     "admin_1": {"kepulauan": ("kepulauan", "kepul", "kep")},
@@ -119,7 +121,7 @@ def match_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     the ones of the stated kind if there are any. Values without a place are absent: an anti-join
     with the input lists them. Null and blank values are left out.
     """
-    distinct = values.where("trim(value) <> ''").distinct()
+    distinct = values.where(clean("value") != "").distinct()
     read = _by_level(distinct, "value").select("level", "value", F.col("r.kind").alias("said"), "r.core")
     near = near_names(read, entries(reference))
     ranked = read.join(near, ["level", "core"]).select(
@@ -139,7 +141,7 @@ def map_places(df: DataFrame, reference: DataFrame, key: str = "silver_observati
     resolved by itself only if keys are unique; rows that share a key share their context.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(level).alias("level"), F.col(f).alias("value")) for f, level in FIELDS.items()])
-    long = df.select(F.col(key).alias("key"), F.explode(fields).alias("f")).select("key", "f.*").where("trim(value) <> ''")
+    long = df.select(F.col(key).alias("key"), F.explode(fields).alias("f")).select("key", "f.*").where(clean("value") != "")
     found = match_values(long.select("level", "value"), reference)
     unmatched = long.join(found, ["level", "value"], "left_anti").select("key", "field_name", "value", F.lit(0).cast("long").alias("place_id"))
     # the list of places with the places above them: as long as the reference list
