@@ -17,13 +17,13 @@ MONTHS = {
 def clean(value: Column | str) -> Column:
     """Without white space, no-break spaces included, at either end."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
 
 
 def collapse(value: Column | str) -> Column:
     """Single spaces, none at the ends."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
 
 
 def fold(value: Column | str) -> Column:
@@ -53,7 +53,7 @@ def table_number(value: Column | str) -> Column:
 
     Percent signs and spaces are dropped; a lone separator before exactly three digits parts thousands.
     """
-    c = F.regexp_replace(collapse(value), r"[%\s ]", "")
+    c = F.regexp_replace(collapse(value), r"[%\s\u00a0]", "")
     ok = c.rlike(r"^[+-]?\d[\d.,]*$")
     last_comma, last_point = F.length(c) - F.length(F.substring_index(c, ",", -1)), F.length(c) - F.length(F.substring_index(c, ".", -1))
     comma, point = c.contains(","), c.contains(".")
