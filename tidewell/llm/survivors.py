@@ -41,11 +41,11 @@ def panel_survivors(df: DataFrame, reference: DataFrame) -> DataFrame:
     deposit is the eight-digit number in source_record, province the place_id of the admin_1 place
     the text means, or its own text where there is none. Rows without one of the four have no group.
     """
-    status = F.regexp_replace(F.lower(clean("quality_status")), r"[\s _\-]+", " ")
+    status = F.regexp_replace(F.lower(clean("quality_status")), r"[\s\u00a0_\-]+", " ")
     priority = F.lit(0)
     for rank, word in enumerate(reversed(STATUS_ORDER), start=1):
         priority = F.when(status == word, rank).otherwise(priority)
-    digits = F.regexp_extract(F.regexp_replace("source_record", r"(?<=\d)[\s ]+(?=\d)", ""), r"(?<!\d)(\d{8})(?!\d)", 1)
+    digits = F.regexp_extract(F.regexp_replace("source_record", r"(?<=\d)[\s\u00a0]+(?=\d)", ""), r"(?<!\d)(\d{8})(?!\d)", 1)
     provinces = match_values(df.select(F.lit("admin_1").alias("level"), F.col("province").alias("value")), reference).select(
         F.col("value").alias("province"), F.element_at("places", 1).cast("string").alias("place")
     )
