@@ -320,6 +320,8 @@ def analog_knn(y, horizon, season):
 
 def _windows(y: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     width = min(5, max(2, len(y) // 10))
+    if len(y) <= width:
+        return width, np.zeros((0, width)), np.zeros(0)
     return width, np.lib.stride_tricks.sliding_window_view(y, width)[:-1], y[width:]
 
 

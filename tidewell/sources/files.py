@@ -98,7 +98,7 @@ def cells(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_status(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, bytes, sha256, status): 'read', 'empty' or the error of each file."""
+    """(path, bytes, sha256, status): 'read', 'empty' or the error of each file; files of no bytes are not listed by the reader."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
