@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,8 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
         spelling(F.regexp_extract(metric, METRIC, 2)).alias("by_metric"),
     )
     origins = ("field", "text", "note", "metric")
-    listed = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(code).alias("unit_code"), F.lit(name).alias("spelling")) for (q, code), several in UNIT_NAMES.items() for name in several])
+    fixed = json.dumps([{"quantity": q, "unit_code": code, "spelling": name} for (q, code), several in UNIT_NAMES.items() for name in several])
+    listed = F.from_json(F.lit(fixed), "array<struct<quantity:string,unit_code:string,spelling:string>>")
     spellings = df.sparkSession.range(1).select(F.explode(listed).alias("a")).select("a.*").union(reference.select("quantity", "unit_code", spelling(F.col("unit_code"))))
     known = spellings.join(reference.select("quantity", "unit_code"), ["quantity", "unit_code"], "left_semi").groupBy("quantity", "spelling").agg(F.min("unit_code").alias("unit_code"))
     units = (
