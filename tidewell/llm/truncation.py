@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import cut_lineage
+
 LIMITS = "source string, unit string, length int, observed long, expected double, posterior double, mu double, sigma double"
+#: Limits that may be broadcast; more of them are joined by shuffle.
+BROADCAST_ROWS = 100_000
 # Weight of each piece of evidence, in log odds.
 PRIOR = -2.0
 WEIGHTS = {"unfinished": 6.0, "whole": -6.0, "line": -2.5, "own_dots": -6.0, "stated_longer": 3.0, "mark": 1.0}
@@ -110,14 +114,15 @@ def judge(documents: DataFrame) -> DataFrame:
     (log odds of zero) are not cut.
     """
     ends = _ending(documents)
-    limits = length_limits(documents).groupBy("source", "unit", "length").agg(F.max("posterior").alias("posterior"))
+    limits = cut_lineage(length_limits(documents).groupBy("source", "unit", "length").agg(F.max("posterior").alias("posterior")))
+    small = F.broadcast if limits.count() <= BROADCAST_ROWS else lambda df: df
     per_source = limits.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("unit", "length"), "posterior"))).alias("limits"))
     own = ends.where("dots and kind = 'unfinished'").groupBy("sentence").agg(F.count_distinct("same").alias("texts")).where("texts > 1").select(F.col("sentence").alias("phrase"), F.lit(True).alias("own"))
     # only endings with dots meet the phrases, so plain endings are not shuffled on a common key
     dotted = ends.where("dots and kind = 'unfinished'").join(own, F.col("sentence") == F.col("phrase"), "left").drop("phrase")
     plain = ends.where("not (dots and kind = 'unfinished')").withColumn("own", F.lit(None).cast("boolean"))
     both = dotted.unionByName(plain)
-    known = both.join(F.broadcast(per_source.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left")
+    known = both.join(small(per_source.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left")
     posterior = F.array_max(F.transform("sizes", lambda s: F.coalesce(F.element_at("limits", F.struct(s["unit"], s["length"])), F.lit(0.0))))
     p = F.coalesce(posterior, F.lit(0.0))
     length = F.col("sizes")[0]["length"]
