@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.kernels import forecast as fc
@@ -120,3 +120,61 @@ def bootstrap_skill(errors: DataFrame, repeats: int = 400) -> DataFrame:
         return pd.DataFrame([(name, horizon, n, 1 - a.mean() / max(b.mean(), 1e-9), float(low), float(high))], columns=["series", "horizon", "folds", "skill", "low", "high"])
 
     return errors.groupBy("series", "horizon").applyInPandas(run, "series string, horizon int, folds int, skill double, low double, high double")
+
+
+def pooled_ridge(spine: DataFrame, keys: list[str], lags: tuple[int, ...] = (1, 2, 3, 12), penalty: float = 0.1) -> DataFrame:
+    """One-step forecasts of all series by one ridge regression on lags of log values, fitted anew for each cutoff.
+
+    A forecast for a period is fitted on the targets of all series before that period. Targets enter as sums of products per
+    period, added up over time, so the fit of a cutoff needs one row of lags x lags numbers and not the rows before it.
+    Periods with fewer than 30 earlier targets and series without all lags give none.
+    """
+    month = F.year("period_start") * 12 + F.month("period_start")
+    order = Window.partitionBy(*keys).orderBy(month)
+    x = F.log1p(F.col("forward_filled").cast("double"))
+    made = spine.select(*keys, "period_start", "present", F.col("value").cast("double").alias("actual"), x.alias("y"), *[F.max(x).over(order.rangeBetween(-k, -k)).alias(f"x{k}") for k in lags])
+    whole = made.where(" and ".join(f"x{k} is not null" for k in lags))
+    names = ["one", *[f"x{k}" for k in lags]]
+    rows = whole.withColumn("one", F.lit(1.0))
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(F.col(a) * F.col("y")).alias(f"{a}_y") for a in names]
+    sums = rows.where("present").groupBy("period_start").agg(*products)
+    earlier = Window.orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per calendar period
+    columns = [c for c in sums.columns if c != "period_start"]
+    before = sums.select("period_start", *[F.sum(c).over(earlier).alias(c) for c in columns]).where("one_one >= 30")
+    size = len(names)
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.to_dict("records"):
+                gram, right = np.zeros((size, size)), np.array([row[f"{a}_y"] for a in names])
+                for i, a in enumerate(names):
+                    for j in range(i, size):
+                        gram[i, j] = gram[j, i] = row[f"{a}_{names[j]}"]
+                out.append((row["period_start"], np.linalg.solve(gram + penalty * np.diag([1e-9, *np.ones(size - 1)]), right).tolist()))
+            yield pd.DataFrame(out, columns=["period_start", "weights"])
+
+    weights = before.mapInPandas(fit, "period_start date, weights array<double>")
+    value = sum((F.col("weights")[i] * F.col(n) for i, n in enumerate(names)), F.lit(0.0))
+    return rows.where("present").join(weights, "period_start").select(*keys, "period_start", "actual", F.greatest(F.expm1(value), F.lit(0.0)).alias("predicted"))
+
+
+def learning_curves(series: DataFrame, windows: tuple[int, ...] = (12, 24, 36, 60, 120), models: tuple[str, ...] = ("naive", "seasonal_naive", "historical_median", "auto_autoregression", "gradient_boosted_stumps", "negative_binomial_ingarch", "holt_winters_additive"), season: int = 12, origins: int = 12) -> DataFrame:
+    """Mean absolute one-step error of each model by the length of its training window, over the last ``origins`` present targets (three or more)."""
+    columns = ["series", "model", "window", "origins", "mae"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples():
+                y, there = np.nan_to_num(np.asarray(row.values, float)), np.asarray(row.present, bool)
+                for width in windows:
+                    at = [o for o in range(width, len(y)) if there[o]][-origins:]
+                    if len(at) < 3:
+                        continue
+                    for model in models:
+                        errors = [abs(y[o] - float(fc.MODELS[model](y[o - width : o], 1, season)[0])) for o in at]
+                        out.append((row.series, model, width, len(at), float(np.mean(errors))))
+            yield pd.DataFrame(out, columns=columns)
+
+    return spread(series).mapInPandas(run, "series string, model string, window int, origins int, mae double")

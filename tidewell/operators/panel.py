@@ -226,3 +226,23 @@ def demand_class(series: DataFrame, keys: list[str], value: str) -> DataFrame:
     adi = F.coalesce("adi", F.lit(1.0))
     kind = F.when((adi < 1.32) & (F.col("cv2") < 0.49), "smooth").when((adi >= 1.32) & (F.col("cv2") < 0.49), "intermittent").when((adi < 1.32) & (F.col("cv2") >= 0.49), "erratic").otherwise("lumpy")
     return zero.join(size, keys, "left").select(*keys, "zero_rate", adi.alias("adi"), "cv2", kind.alias("demand"))
+
+
+def readiness(panel: DataFrame, keys: list[str], place: str, value: str, population: Column) -> DataFrame:
+    """Scores (0 to 100) of what a panel can be used for, from its periods, places, zeros and filled populations."""
+    g = panel.groupBy(*keys).agg(
+        F.count_distinct("period_start").alias("p"), F.count_distinct(place).alias("l"), F.avg(F.when(F.col(value) == 0, 1.0).otherwise(0.0)).alias("z"), F.avg(F.when(population.isNotNull(), 1.0).otherwise(0.0)).alias("pop"),
+    )
+
+    def full(c: str, of: int) -> Column:
+        return F.least(F.col(c) / of, F.lit(1.0))
+
+    scores = {
+        "forecasting": 0.5 * full("p", 60) + 0.3 * (1 - F.col("z")) + 0.2 * full("l", 10),
+        "transmission": 0.4 * full("p", 36) + 0.3 * full("l", 20) + 0.3 * F.col("pop"),
+        "risk": 0.5 * full("l", 30) + 0.3 * full("p", 12) + 0.2 * F.col("pop"),
+        "transfer": 0.5 * full("l", 20) + 0.5 * full("p", 36),
+        "disaggregation": 0.5 * full("l", 50) + 0.3 * F.col("pop") + 0.2 * full("p", 24),
+    }
+    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("use"), (100 * x).alias("score")) for n, x in scores.items()]))
+    return g.select(*keys, listed.alias("s")).select(*keys, "s.use", "s.score")

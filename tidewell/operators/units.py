@@ -133,7 +133,7 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("value") != 0)
     sized = F.when(finite & low.isNotNull() & ~fits(F.col("value")), F.when(whole & F.col("value").between(low, high), F.lit(None)).otherwise(ranked))
     # a fraction of a thing that is counted is a count of thousands
-    thousands = F.when(finite & whole & F.col("value").between(low, high) & ~fits(F.col("value")), F.filter("units", lambda u: u["factor"] == 1000)[0]["unit_code"])
+    thousands = F.when(finite & whole & F.col("value").between(low, high) & ~fits(F.col("value")), F.get(F.filter("units", lambda u: u["factor"] == 1000), 0)["unit_code"])
     named = F.coalesce(*[f"by_{o}" for o in origins])
     chosen = coded.withColumn("sized", F.coalesce(sized, thousands)).select(
         "key",
@@ -144,7 +144,7 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
         F.coalesce(*[F.when(F.col(f"by_{o}").isNotNull(), F.lit(o)) for o in origins], F.when(F.col("sized").isNotNull(), "size"), F.when(F.col("quantity").isNotNull(), "default")).alias("unit_origin"),
         F.col("units"),
     )
-    used = F.filter("units", lambda u: u["unit_code"] == F.col("unit_code"))[0]
+    used = F.get(F.filter("units", lambda u: u["unit_code"] == F.col("unit_code")), 0)
     return chosen.select(
         F.col("key").alias(key), "quantity", "unit_code", "unit_origin", "common_unit", (F.col("value") * used["factor"] + used["shift"]).alias("value_common")
     )

@@ -32,6 +32,8 @@ def queries() -> dict:
         "diagnostic_kernels": lambda s, d: dg.series_diagnostics(_packed(s, d)),
         "panel_kernels": lambda s, d: dg.panel_diagnostics(_packed(s, d).withColumn("panel", F.lit("nations")), "panel", _edges(s, d)),
         "spatial_permutation": lambda s, d: dg.permutation_moran(panels.by_nation(s, d).groupBy("nation", F.year("period_start").cast("string").alias("year")).agg(F.sum("cases").alias("cases")), "year", "nation", "cases", _edges(s, d)),
+        "pooled_ridge": lambda s, d: fc.pooled_ridge(p.month_spine(panels.by_segment(s, d), panels.KEYS, "cases"), panels.KEYS),
+        "learning_curves": lambda s, d: fc.learning_curves(_packed(s, d)),
         "bootstrap_interval": lambda s, d: fc.bootstrap_skill(_errors(s, d)),
     }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import medallion as m
+from tidewell.operators import silver as sv
 from tidewell.sources.tables import table
 
 
@@ -46,6 +47,9 @@ def queries() -> dict:
         "insert_missing": lambda s, d: m.insert_missing(
             silver(s, d).where("disease = 'dengue'").select("source_id", "metric", "silver_observation_id"), silver(s, d).where("disease is null").select("source_id", "metric", "silver_observation_id"), ["source_id", "metric"], ["silver_observation_id"]
         ),
+        "silver_build": lambda s, d: sv.observations(bronze(s, d)).drop("observation_hash"),
+        "gold_publish": lambda s, d: sv.publish(sv.observations(bronze(s, d))).groupBy("metric", "grain").agg(F.count(F.lit(1)).alias("facts"), F.sum("records").alias("records")),
+        "usable_shares": lambda s, d: sv.usable_shares(sv.observations(bronze(s, d))),
         "max_per_group": lambda s, d: bronze(s, d).groupBy("dataset_id").agg(F.max(F.get_json_object("payload", "$.kabupaten")).alias("largest")),
         "distinct_concat": lambda s, d: silver(s, d).where("value_numeric is not null").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("metric")), "; ").alias("metrics")),
         "json_path_projection": lambda s, d: silver(s, d).select(
@@ -74,6 +78,22 @@ gold as (select n.* exclude (stated, f, deepest), cast(period_end_effective - pe
 _LATEST = "latest as (select * from (select *, row_number() over (partition by dataset_name order by loaded_at desc, dataset_id desc) k from metadata_dataset) where k = 1)"
 
 
+def _silver_sql() -> str:
+    """Observations from raw rows: every cell as a row, then one row per measure."""
+    names = ", ".join(f"('{n}', '{several[0]}')" for several in sv.drift.SAME_MEANING for n in several)
+    first = ", ".join(f"first(v order by k) filter (name = '{c}') as {c}" for c in (*sv.DESCRIBES, "report_date", "onset_date", "year", "month", "week"))
+    measures = ", ".join(f"('{x}')" for x in sv.MEASURES)
+    return f"""ms(raw, name) as (values {names}), ks as (select bronze_record_id, dataset_id, payload, unnest(json_keys(payload)) kk, generate_subscripts(json_keys(payload), 1) k from bronze_record),
+cl as (select bronze_record_id, dataset_id, k, coalesce(ms.name, regexp_replace(lower(trim(kk)), '\\s+', '_', 'g')) as name, trim(json_extract_string(payload, '$."' || kk || '"')) v from ks left join ms on ms.raw = regexp_replace(lower(trim(kk)), '\\s+', '_', 'g')),
+fl as (select * from cl where v <> ''), wd as (select bronze_record_id, dataset_id, {first} from fl group by 1, 2),
+dt as (select *, coalesce(try_cast(report_date as date), try_cast(onset_date as date)) as d, try_cast(year as integer) y, case when try_cast(month as integer) between 1 and 12 then try_cast(month as integer) end m, case when try_cast(week as integer) between 1 and 53 then try_cast(week as integer) end w from wd),
+gr as (select *, case when d is not null then 'day' when y between 1900 and 2100 and w is not null then 'week' when y between 1900 and 2100 and m is not null then 'month' when y between 1900 and 2100 then 'year' end as grain from dt),
+me(metric) as (values {measures}), fm as (select bronze_record_id, name, first(v order by k) v from fl group by 1, 2),
+ob as (select gr.bronze_record_id, gr.dataset_id, metric, case when regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') then cast(x as double) end as value, {", ".join(sv.DESCRIBES)}, grain,
+ case grain when 'day' then d when 'week' then cast(date_trunc('week', make_date(y, 1, 4)) + to_days(7 * (w - 1)) as date) when 'month' then make_date(y, m, 1) when 'year' then make_date(y, 1, 1) end as period_start
+ from gr join me on true join (select bronze_record_id, name, case when regexp_matches(v, '^[^,.]*,[^,.]*$') then replace(v, ',', '.') else replace(v, ',', '') end x from fm) f on f.bronze_record_id = gr.bronze_record_id and f.name = metric)"""
+
+
 def oracle_sql() -> dict[str, str]:
     keys = ", ".join(m.AGGREGATE_KEYS)
     return {
@@ -105,6 +125,11 @@ union all select 'value_not_finite', count(*) from silver_observation where not
         "insert_missing": """with o as (select source_id, metric, silver_observation_id from silver_observation where disease = 'dengue'),
 n as (select source_id, metric, min(silver_observation_id) as silver_observation_id from silver_observation s where disease is null group by 1, 2)
 select * from o union all select * from n where not exists (select 1 from o where o.source_id = n.source_id and o.metric = n.metric)""",
+        "silver_build": f"with {_silver_sql()} select * from ob where value is not null",
+        "gold_publish": f"""with {_silver_sql()}, h as (select dataset_id, metric, value, {", ".join(sv.DESCRIBES)}, grain, period_start, count(distinct bronze_record_id) n from ob where value is not null and period_start is not null group by all)
+select metric, grain, count(*) as facts, cast(sum(n) as bigint) as records from h group by 1, 2""",
+        "usable_shares": f"""with {_silver_sql()} select metric, count(*) as observations, avg(case when period_start is not null then 1.0 else 0.0 end) as with_period, avg(case when coalesce(facility, subdistrict, district, province) is not null then 1.0 else 0.0 end) as with_place,
+ avg(case when disease is not null then 1.0 else 0.0 end) as with_disease, avg(case when value >= 0 then 1.0 else 0.0 end) as not_negative from ob where value is not null group by 1""",
         "max_per_group": "select dataset_id, max(json_extract_string(payload, '$.kabupaten')) as largest from bronze_record group by 1",
         "distinct_concat": "select source_id, array_to_string(list_sort(list(distinct metric)), '; ') as metrics from silver_observation where value_numeric is not null and metric is not null group by 1",
         "json_path_projection": "select silver_observation_id, nullif(json_extract_string(provenance, '$.source_record.aggregation_level'), '') as aggregation_level, nullif(json_extract_string(provenance, '$.source_record.note'), '') as note from silver_observation",

@@ -56,6 +56,7 @@ def queries() -> dict:
         "variance_decomposition": lambda s, d: p.variance_split(by_nation(s, d), "nation", "cases").withColumn("share", F.round("share", 9)),
         "year_over_year": lambda s, d: p.year_before(by_nation(s, d).groupBy("nation", F.year("period_start").alias("year")).agg(F.sum("cases").alias("cases")), ["nation"], "year", "cases"),
         "demand_class": lambda s, d: p.demand_class(p.month_spine(by_segment(s, d), KEYS, "cases").withColumn("value", F.coalesce("value", F.lit(0.0))), KEYS, "value"),
+        "readiness_scores": lambda s, d: p.readiness(native(s, d), ["admin_1"], "admin_2", "cases", F.col("population")).withColumn("score", F.round("score", 9)),
         "location_labels": lambda s, d: table(s, d, "silver_observation").select(
             "silver_observation_id", p.location_label(["admin_0", "admin_1", "admin_2", "admin_3"]).alias("label"), p.location_path(["admin_0", "admin_1", "admin_2", "admin_3", "facility_name"]).alias("path")
         ),
@@ -114,6 +115,10 @@ select component, round(b / v, 9) as share from (select * from s union all selec
 o as (select *, t - lag(t) over (partition by nation, segment order by t) step from v where x > 0), z as (select nation, segment, avg(case when x = 0 then 1.0 else 0.0 end) zero_rate from v group by all),
 a as (select nation, segment, coalesce(avg(step), 1.0) adi, power(stddev_pop(x) / avg(x), 2) cv2 from o group by all)
 select nation, segment, zero_rate, adi, cv2, case when adi < 1.32 and cv2 < 0.49 then 'smooth' when adi >= 1.32 and cv2 < 0.49 then 'intermittent' when adi < 1.32 and cv2 >= 0.49 then 'erratic' else 'lumpy' end as demand from z join a using (nation, segment)""",
+        "readiness_scores": f"""with {_CASES}, a as (select region admin_1, count(distinct period_start) p, count(distinct nation) l, 0.0::double z, 1.0::double pop from c group by 1)
+select admin_1, 'forecasting' as use, round(100 * (0.5::double * least(p / 60, 1) + 0.3::double * (1 - z) + 0.2::double * least(l / 10, 1)), 9) as score from a union all select admin_1, 'transmission', round(100 * (0.4::double * least(p / 36, 1) + 0.3::double * least(l / 20, 1) + 0.3::double * pop), 9) from a
+union all select admin_1, 'risk', round(100 * (0.5::double * least(l / 30, 1) + 0.3::double * least(p / 12, 1) + 0.2::double * pop), 9) from a union all select admin_1, 'transfer', round(100 * (0.5::double * least(l / 20, 1) + 0.5::double * least(p / 36, 1)), 9) from a
+union all select admin_1, 'disaggregation', round(100 * (0.5::double * least(l / 50, 1) + 0.3::double * pop + 0.2::double * least(p / 24, 1)), 9) from a""",
         "location_labels": """select silver_observation_id, nullif(concat_ws(' | ', nullif(case when trim(admin_0) <> '' then admin_0 end, ''), case when trim(admin_1) <> '' then admin_1 end, case when trim(admin_2) <> '' then admin_2 end, case when trim(admin_3) <> '' then admin_3 end), '') as label,
 coalesce(nullif(array_to_string(list_reduce(list_prepend([], list_transform(list_filter([trim(admin_0), trim(admin_1), trim(admin_2), trim(admin_3), trim(facility_name)], lambda x: x is not null and x <> ''), lambda x: [x])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end), ' | '), ''), 'Unspecified') as path from silver_observation""",
         "resolution_resolve": "select silver_observation_id, coalesce(" + _WORD.format("lower(trim(temporal_resolution))") + ", case when period_end - period_start + 1 is null then null when period_end - period_start + 1 <= 1 then 'day' when period_end - period_start + 1 <= 8 then 'week' when period_end - period_start + 1 <= 32 then 'month' when period_end - period_start + 1 <= 92 then 'quarter' else 'year' end) as resolution from silver_observation",
