@@ -105,7 +105,7 @@ def quality_counters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     marked = df.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     counted = marked.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in checks.items()])
     rows = counted.select("rows", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in checks]), F.array(*[F.col(n) for n in checks]))).alias("check_name", "failing"))
-    return rows.select("check_name", "failing", "rows", (F.col("failing") / F.col("rows")).alias("rate"))
+    return rows.select("check_name", "failing", "rows", F.try_divide("failing", "rows").alias("rate"))
 
 
 def pair_differences(totals: DataFrame, group: list[str], source: str, value: str) -> DataFrame:

@@ -33,7 +33,7 @@ def global_autocorrelation(panel: DataFrame, group: list[str], place: str, value
     out = lag.groupBy(*group).agg(F.sum(F.col("z") * F.col("lag")).alias("zz"), F.sum("w_sum").alias("s0"), F.max("ss").alias("ss"), F.max("n").alias("n"), F.sum("difference").alias("d"))
     ok = (F.col("ss") > 1e-12) & (F.col("s0") > 0)
     return out.select(
-        *group, F.col("n").alias("places"), F.when(ok, F.col("n") / F.col("s0") * F.col("zz") / F.col("ss")).alias("moran_i"), (-1.0 / (F.col("n") - 1)).alias("expected_i"),
+        *group, F.col("n").alias("places"), F.when(ok, F.col("n") / F.col("s0") * F.col("zz") / F.col("ss")).alias("moran_i"), F.try_divide(F.lit(-1.0), (F.col("n") - 1).cast("double")).alias("expected_i"),
         F.when(ok, (F.col("n") - 1) * F.col("d") / (2 * F.col("s0") * F.col("ss"))).alias("geary_c"),
     )
 
@@ -54,7 +54,7 @@ def hot_spots(panel: DataFrame, group: list[str], place: str, value: str, edges:
     stats = have.groupBy(*group).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count(value).alias("n"))
     near = have.select(*group, F.col(place).alias("b"), F.col(value).cast("double").alias("x"))
     sums = have.select(*group, F.col(place).alias("a")).join(star, "a").join(near, [*group, "b"]).groupBy(*group, "a").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("k"))
-    below = F.col("s") * F.sqrt((F.col("n") * F.col("k") - F.col("k") * F.col("k")) / (F.col("n") - 1))
+    below = F.col("s") * F.sqrt(F.try_divide((F.col("n") * F.col("k") - F.col("k") * F.col("k")).cast("double"), (F.col("n") - 1).cast("double")))
     joined = sums.join(stats, group) if group else sums.join(stats, F.lit(True))
     return joined.select(*group, F.col("a").alias(place), F.when(below > 0, (F.col("x") - F.col("m") * F.col("k")) / below).alias("gi_star"))
 
@@ -88,7 +88,7 @@ def hotspot_classes(scores: DataFrame, place: str, score: str, cut: float = 1.96
 
 
 def rank_correlation(panel: DataFrame, place: str, value: str) -> DataFrame:
-    """Spearman correlation of each pair of places over the periods both have (ranks within each place, averaged on ties).
+    """Spearman correlation of each pair of places over the periods both have (ranks within each place, averaged on ties); null where one of them does not vary.
 
     Pairs of a reference list of places; each pair meets by period.
     """
@@ -96,4 +96,4 @@ def rank_correlation(panel: DataFrame, place: str, value: str) -> DataFrame:
     rank = F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(place, value)) - 1) / 2
     r = panel.where(F.col(value).isNotNull()).select(place, "period_start", rank.alias("r"))
     a, b = r.select(F.col(place).alias("place_a"), "period_start", F.col("r").alias("r_a")), r.select(F.col(place).alias("place_b"), "period_start", F.col("r").alias("r_b"))
-    return a.join(b, "period_start").where("place_a < place_b").groupBy("place_a", "place_b").agg(F.count(F.lit(1)).alias("periods"), F.corr("r_a", "r_b").alias("spearman"))
+    return a.join(b, "period_start").where("place_a < place_b").groupBy("place_a", "place_b").agg(F.count(F.lit(1)).alias("periods"), F.try_divide(F.covar_pop("r_a", "r_b"), F.stddev_pop("r_a") * F.stddev_pop("r_b")).alias("spearman"))

@@ -108,7 +108,7 @@ lg as (select a.year, a.nation, a.z, a.ss, a.n, sum(ew.w * b.z) lag, sum(ew.w) w
 def _gi(group: str, rel: str) -> str:
     return f"""st as (select {group}, avg(cases) m, stddev_pop(cases) s, count(*) n from {rel} group by 1), nb as (select a, b from e union all select distinct nation, nation from {rel}),
 sm as (select o.{group}, o.nation, sum(v.cases) x, count(*) k from {rel} o join nb on nb.a = o.nation join {rel} v on v.nation = nb.b and v.{group} = o.{group} group by all),
-gi as (select sm.{group}, nation, case when s * sqrt((n * k - k * k) / (n - 1)) > 0 then (x - m * k) / (s * sqrt((n * k - k * k) / (n - 1))) end as gi_star from sm join st using ({group}))"""
+gi as (select sm.{group}, nation, case when n > 1 and s * sqrt((n * k - k * k) / nullif(n - 1, 0)) > 0 then (x - m * k) / (s * sqrt((n * k - k * k) / nullif(n - 1, 0))) end as gi_star from sm join st using ({group}))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -148,7 +148,7 @@ select segment, nation, year, p_value, round(least(greatest(min(p_value * n / k)
         "ears_alarms": f"""with {panels._CASES}, a as (select nation, period_start, cases, case when count(*) over c1 = 7 then (cases - avg(cases) over c1) / greatest(stddev_pop(cases) over c1, 0.5) end c1, case when count(*) over c2 = 7 then (cases - avg(cases) over c2) / greatest(stddev_pop(cases) over c2, 0.5) end c2 from n
  window c1 as (partition by nation order by period_start rows between 7 preceding and 1 preceding), c2 as (partition by nation order by period_start rows between 9 preceding and 3 preceding))
 select nation, period_start, cases, round(c1, 6) as c1, round(c2, 6) as c2, round(case when c2 is not null then avg(greatest(case when c2 is not null then c2 end, 0.0)) over (partition by nation order by period_start rows between 2 preceding and current row) end, 6) as c3 from a""",
-        "moran_geary": f"with {_E} select year, max(n) as places, round(max(n) / sum(ws) * sum(z * lag) / max(ss), 9) as moran_i, round(-1.0::double / (max(n) - 1), 9) as expected_i, round((max(n) - 1) * sum(df) / (2 * sum(ws) * max(ss)), 9) as geary_c from lg group by 1",
+        "moran_geary": f"with {_E} select year, max(n) as places, round(max(n) / sum(ws) * sum(z * lag) / max(ss), 9) as moran_i, round(-1.0::double / nullif(max(n) - 1, 0), 9) as expected_i, round((max(n) - 1) * sum(df) / (2 * sum(ws) * max(ss)), 9) as geary_c from lg group by 1",
         "local_moran": f"with {_E} select year, nation, round(z * lag * (n - 1) / ss, 9) as local_i, case when z > 0 then 'high' else 'low' end || '-' || case when lag > 0 then 'high' else 'low' end as quadrant from lg",
         "getis_ord_z": f"with {_E}, {_gi('year', 'y')} select year, nation, round(gi_star, 9) as gi_star from gi",
         "hotspot_classes": f"""with {_E}, {_gi('period_start', 'n')}, mk as (select *, gi_star >= 1.96 hot, gi_star <= -1.96 cold, row_number() over (partition by nation order by period_start desc) k from gi),
@@ -157,5 +157,5 @@ select nation, round(hs, 9) as hot_share, round(cs, 9) as cold_share, case when
         "semivariogram_bins": f"""with {_E}, pt as (select year, nation, cases v, n_nationkey % 5 x, n_nationkey // 5 yy from y join nation on n_name = nation), pr as (select a.year, sqrt((a.x - b.x) ** 2 + (a.yy - b.yy) ** 2) h, (a.v - b.v) ** 2 / 2 g from pt a join pt b on a.year = b.year and a.nation < b.nation),
 tp as (select year, max(h) top from pr group by 1) select year, cast(least(floor(h / top * 10), 9) as integer) as bin, count(*) as pairs, round(avg(h), 9) as distance, round(avg(g), 9) as semivariance from pr join tp using (year) where top > 0 group by 1, 2""",
         "spearman_pairs": f"""with {panels._CASES}, r as (select nation, period_start, rank() over (partition by nation order by cases) + (count(*) over (partition by nation, cases) - 1) / 2.0 r from n)
-select a.nation as place_a, b.nation as place_b, count(*) as periods, round(corr(a.r, b.r), 6) as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
+select a.nation as place_a, b.nation as place_b, count(*) as periods, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
     }
