@@ -17,7 +17,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value: object) -> str:
     if isinstance(value, (float, decimal.Decimal)):
-        return f"{float(value):.6g}"
+        return f"{float(value) + 0.0:.6g}"
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return str(value)

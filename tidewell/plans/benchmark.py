@@ -53,7 +53,7 @@ def _tests(s, d):
 def _round(df, digits=9):
     for name, kind in df.dtypes:
         if kind == "double":
-            df = df.withColumn(name, F.round(name, digits))
+            df = df.withColumn(name, F.round(name, digits) + 0.0)  # no negative zero
     return df
 
 
@@ -157,5 +157,5 @@ select nation, round(hs, 9) as hot_share, round(cs, 9) as cold_share, case when
         "semivariogram_bins": f"""with {_E}, pt as (select year, nation, cases v, n_nationkey % 5 x, n_nationkey // 5 yy from y join nation on n_name = nation), pr as (select a.year, sqrt((a.x - b.x) ** 2 + (a.yy - b.yy) ** 2) h, (a.v - b.v) ** 2 / 2 g from pt a join pt b on a.year = b.year and a.nation < b.nation),
 tp as (select year, max(h) top from pr group by 1) select year, cast(least(floor(h / top * 10), 9) as integer) as bin, count(*) as pairs, round(avg(h), 9) as distance, round(avg(g), 9) as semivariance from pr join tp using (year) where top > 0 group by 1, 2""",
         "spearman_pairs": f"""with {panels._CASES}, r as (select nation, period_start, rank() over (partition by nation order by cases) + (count(*) over (partition by nation, cases) - 1) / 2.0 r from n)
-select a.nation as place_a, b.nation as place_b, count(*) as periods, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
+select a.nation as place_a, b.nation as place_b, count(*) as periods, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) + 0.0 as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
     }
