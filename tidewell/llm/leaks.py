@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from tidewell.session import cut_lineage
 WORD = re.compile(r"[^\W_]+")
 TAG = re.compile(r"<[^<>]{0,200}>")
 BROKEN = re.compile(r"(?<=\w)-[ \t]*\r?\n\s*(?=\w)")
-SCHEMA = "doc_id long, item_id long, field string, covered array<int>, matched int, longest int, location int, specific int"
+SCHEMA = "doc_id long, item_id long, field string, covered array<int>, matched int, longest int, location int, specific int, text_key long, first int, last int, item_words int"
 #: Words of test material per pass over the corpus; a larger test set is searched block by block.
 BLOCK_WORDS = 2_000_000
 
@@ -185,6 +186,7 @@ def _search(tests: TestSet, least: int, jump: int):
                     regions.append([lo, hi])
             runs = [r for lo, hi in regions for r in _runs(tests.places[n], codes[lo:hi], lo)]
             runs.sort()
+            mine = []
             while runs:
                 chain = _chain(runs, jump)
                 took = sorted({a + k for a, _, m in chain for k in range(m)})
@@ -195,13 +197,16 @@ def _search(tests: TestSet, least: int, jump: int):
                 sure = hit >= max(2, 0.75 * whole) or (len(took) >= 20 and hit >= max(3, 0.5 * whole))
                 if sure and len(took) >= 0.75 * (took[-1] + 1 - took[0]):
                     item, field = tests.keys[n]
-                    out.append((ids[d], item, field, took, len(took), max(m for _, _, m in chain), min(b for _, b, _ in chain) - start, int(hit)))
+                    mine.append((ids[d], item, field, took, len(took), max(m for _, _, m in chain), min(b for _, b, _ in chain) - start, int(hit)))
                 runs = [r for r in runs if r not in set(chain)]
+            if mine:
+                text_key = int.from_bytes(blake2b(" ".join(words(texts[d])).encode(), digest_size=8).digest(), "big", signed=True)
+                out += [(*x, text_key, min(y[3][0] for y in mine), max(y[3][-1] for y in mine), len(tests.texts[n])) for x in mine]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("field", pa.string()), ("covered", pa.list_(pa.int32())), ("matched", pa.int32()), ("longest", pa.int32()), ("location", pa.int32()), ("specific", pa.int32())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("field", pa.string()), ("covered", pa.list_(pa.int32())), ("matched", pa.int32()), ("longest", pa.int32()), ("location", pa.int32()), ("specific", pa.int32()), ("text_key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("item_words", pa.int32())])
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             first, size, out = 0, 0, []
@@ -224,8 +229,9 @@ def test_leaks(documents: DataFrame, items: DataFrame, least: int = 12, jump: in
     ``jump`` words. A chain counts if it covers ``least`` words of the item, three quarters of
     its stretch, and two or more and three quarters of the specific words in it (see TestSet; half of them
     where it covers 20 words or more), so that sentences of the same make with other names and numbers do not. Stock is left out: runs of ``gram`` words found in three
-    items, and those in more than max(``stock_docs``, ``stock_share`` of the documents), which is counted
-    over the whole corpus. Null and empty texts hold nothing; case, punctuation, markup and line breaks do not matter.
+    items, and a stretch of an item that recurs without the rest of it, with the same first and last word, in more than
+    max(``stock_docs``, ``stock_share`` of the documents) different texts, which is counted over the whole corpus. Copies of
+    a text count once, and an item that recurs as a whole (all but a tenth) is leaked, however often. Null and empty texts hold nothing; case, punctuation, markup and line breaks do not matter.
     Repeated documents each come out. The test set is read to the driver in blocks of BLOCK_WORDS words, each block one pass.
     """
     rows, blocks, size = [], [], 0
@@ -243,11 +249,11 @@ def test_leaks(documents: DataFrame, items: DataFrame, least: int = 12, jump: in
         part = texts.mapInArrow(_search(TestSet(block, gram), least, jump), SCHEMA)
         found = part if found is None else found.unionByName(part)
     found = cut_lineage(found)  # a few rows per leaked document, read twice below
-    # stock by the number of documents: a run of gram words counts where it is covered in full
+    # stock by the number of different texts that hold one stretch of an item and nothing else of it
     limit = max(stock_docs, int(stock_share * documents.count()))
-    runs = found.select("doc_id", "item_id", "field", F.explode(F.expr(f"filter(covered, x -> size(array_except(sequence(x, x + {gram - 1}), covered)) = 0)")).alias("start"))
-    often = runs.groupBy("item_id", "field", "start").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > limit)
-    stock = often.groupBy("item_id", "field").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + gram - 1)))).alias("stock"))
+    apart = found.where(F.col("item_words") - (F.col("last") - F.col("first") + 1) > F.greatest(F.lit(3), F.col("item_words") / 10))
+    often = apart.groupBy("item_id", "field", "first", "last").agg(F.count_distinct("text_key").alias("texts")).where(F.col("texts") > limit)
+    stock = often.groupBy("item_id", "field").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last")))).alias("stock"))
     kept = found.join(stock, ["item_id", "field"], "left").withColumn("matched", F.when(F.col("stock").isNull(), F.col("matched")).otherwise(F.size(F.array_except("covered", "stock"))))
     return kept.where(F.col("matched") >= least).select("doc_id", "item_id", "field", "matched", "longest", "location", "specific")
 
