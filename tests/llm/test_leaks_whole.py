@@ -23,3 +23,15 @@ def test_stock_without_its_item(spark, items):  # noqa: F811
     items_of = spark.createDataFrame([(10, "s", "en", longer, None, None)], one.schema)
     got = leaks.test_leaks(spark.createDataFrame([*notices, (50, "Intro. " + longer)], DOCUMENTS), items_of, stock_docs=30, stock_share=0.1)
     assert {r.doc_id for r in got.collect()} == {50}
+
+
+def test_verbatim_runs_without_specific_words(spark, items):  # noqa: F811
+    """A dozen running words count even where none is a number or rare; eleven do not."""
+    common = "teams visited every house near the river and asked each family about standing water in open jars"
+    # common words: each of five items holds some of them, in another order
+    words = common.split()
+    others = [(20 + k, "s", "en", " ".join(words[k + 1 :: 2] + words[k::2] + words[: k + 1][::-1]), None, None) for k in range(5)]
+    more = spark.createDataFrame([(15, "s", "en", f"Report 481 says {common} before noon.", None, None), *others], items.schema)
+    texts = [(1, "Yesterday " + " ".join(words[:12]) + " as planned"), (2, "Later " + " ".join(words[5:17]).upper()), (3, "Yesterday " + " ".join(words[:11]) + " as planned")]
+    got = leaks.leaked_items(spark.createDataFrame(texts, DOCUMENTS), items.unionByName(more))
+    assert {tuple(r) for r in got.collect()} == {(1, 15), (2, 15)}

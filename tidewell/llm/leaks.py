@@ -40,7 +40,7 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, rows: list[tuple[int, str, str]], gram: int = 8) -> None:
+    def __init__(self, rows: list[tuple[int, str, str]], gram: int = 8, least: int = 12) -> None:
         self.keys = [(item, field) for item, field, _ in rows]
         texts = [words(t) for _, _, t in rows]
         items_of: dict[str, set] = defaultdict(set)
@@ -81,7 +81,16 @@ class TestSet:
                     code.append(c)
             self.places.append(dict(here))
         self.starts, self.owner, self.code = np.array(starts, int), np.array(owner, int), np.array(code, np.int64)
-        self.known = np.unique(self.code)
+        # and all that begin with ``least`` words (12 at most, whole threes) of which none is stock, as their three-word codes
+        heads = range(0, max(3, min(least, 12) // 3 * 3), 3)
+        windows, window_owner = [], []
+        for n, t in enumerate(self.texts):
+            for j in range(len(t) - heads[-1] - 2):
+                if not self.stock[n][j : j + heads[-1] + 3].any():
+                    windows.append([(int(t[j + k]) * self.base + int(t[j + k + 1])) * self.base + int(t[j + k + 2]) for k in heads])
+                    window_owner.append(n)
+        self.windows, self.window_owner = np.array(windows, np.int64).reshape(-1, len(heads)), np.array(window_owner, int)
+        self.known = np.unique(np.concatenate([self.code, self.windows[:, 0]]))
 
 
 def suffix_array(numbers: np.ndarray, base: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +109,23 @@ def suffix_array(numbers: np.ndarray, base: int, known: np.ndarray) -> tuple[np.
     return kept[order], code[kept][order]
 
 
+def _bisect(values: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
+    """Where each of ``want`` belongs in its own sorted part ``low`` to ``high`` of ``values``."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        above = values[middle] <= want[open_] if right else values[middle] < want[open_]
+        low[open_] = np.where(above, middle + 1, low[open_])
+        high[open_] = np.where(above, high[open_], middle)
+    return low
+
+
+def _places(position: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the search, place in the shard) of all that lies between ``low`` and ``high`` in the suffix array."""
+    width = high - low
+    return np.repeat(np.arange(len(width)), width), position[np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())]
+
+
 def _runs(places: dict[int, list[int]], codes: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
     """Maximal verbatim runs of three or more words as (place in the item, place in the shard, length)."""
     diagonals: dict[int, list[int]] = defaultdict(list)
@@ -156,9 +182,7 @@ def _search(tests: TestSet, least: int, jump: int):
             return []
         # every test suffix, by binary search, with all the places that share its beginning
         low, high = np.searchsorted(code, tests.code, "left"), np.searchsorted(code, tests.code, "right")
-        width = high - low
-        suffix = np.repeat(np.arange(len(width)), width)
-        place = position[np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        suffix, place = _places(position, low, high)
         doc = np.searchsorted(np.array(ends), place, "right")
         # words of an item that its suffixes cover in a document
         key = doc * len(tests.texts) + tests.owner[suffix]
@@ -166,12 +190,21 @@ def _search(tests: TestSet, least: int, jump: int):
         cells = np.unique(np.concatenate([key * longest_item + tests.starts[suffix] + k for k in range(3)]))
         pairs, covered = np.unique(cells // longest_item, return_counts=True)
         pairs = pairs[covered >= least // 2]
+        codes = np.full(len(stream) + 12, -1, np.int64)
+        codes[: len(stream) - 2] = (stream[:-2] * tests.base + stream[1:-1]) * tests.base + stream[2:]
+        codes[: len(stream) - 2][(stream[:-2] == 0) | (stream[1:-1] == 0) | (stream[2:] == 0)] = -1
+        # verbatim runs of a dozen words: low and high bound narrowed three words at a time
+        low, high = np.searchsorted(code, tests.windows[:, 0], "left"), np.searchsorted(code, tests.windows[:, 0], "right")
+        for k in range(1, tests.windows.shape[1]):
+            deeper, want = codes[position + 3 * k], tests.windows[:, k]
+            low, high = _bisect(deeper, want, low, high, False), _bisect(deeper, want, low, high, True)
+        window, at = _places(position, low, high)
+        exact = np.searchsorted(np.array(ends), at, "right") * len(tests.texts) + tests.window_owner[window]
+        pairs = np.union1d(pairs, exact)
+        key, place = np.concatenate([key, exact]), np.concatenate([place, at])
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
         out = []
-        codes = np.full(len(stream), -1, np.int64)
-        codes[:-2] = (stream[:-2] * tests.base + stream[1:-1]) * tests.base + stream[2:]
-        codes[:-2][(stream[:-2] == 0) | (stream[1:-1] == 0) | (stream[2:] == 0)] = -1
         for pair in pairs.tolist():
             d, n = divmod(pair, len(tests.texts))
             near = place[np.searchsorted(key, pair, "left") : np.searchsorted(key, pair, "right")]
@@ -195,9 +228,11 @@ def _search(tests: TestSet, least: int, jump: int):
                 whole = tests.specific[tests.texts[n][took[0] : took[-1] + 1]].sum()
                 hit = tests.specific[tests.texts[n][took]].sum()
                 sure = hit >= max(2, 0.75 * whole) or (len(took) >= 20 and hit >= max(3, 0.5 * whole))
-                if sure and len(took) >= 0.75 * (took[-1] + 1 - took[0]):
-                    item, field = tests.keys[n]
-                    mine.append((ids[d], item, field, took, len(took), max(m for _, _, m in chain), min(b for _, b, _ in chain) - start, int(hit)))
+                item, field = tests.keys[n]
+                # a chain that isn't sure still counts where it is verbatim
+                for part in [chain] if sure and len(took) >= 0.75 * (took[-1] + 1 - took[0]) else [[r] for r in chain if r[2] >= least]:
+                    took = sorted({a + k for a, _, m in part for k in range(m)})
+                    mine.append((ids[d], item, field, took, len(took), max(m for _, _, m in part), min(b for _, b, _ in part) - start, int(tests.specific[tests.texts[n][took]].sum())))
                 runs = [r for r in runs if r not in set(chain)]
             if mine:
                 text_key = int.from_bytes(blake2b(" ".join(words(texts[d])).encode(), digest_size=8).digest(), "big", signed=True)
@@ -226,9 +261,9 @@ def test_leaks(documents: DataFrame, items: DataFrame, least: int = 12, jump: in
     Every shard of the corpus (some 4 MB of text) gets a suffix array over its words; every test
     suffix is binary-searched in it. The verbatim runs of an item in a document are chained: single words may be
     changed, added or dropped between runs, and once the document may interrupt them by up to
-    ``jump`` words. A chain counts if it covers ``least`` words of the item, three quarters of
-    its stretch, and two or more and three quarters of the specific words in it (see TestSet; half of them
-    where it covers 20 words or more), so that sentences of the same make with other names and numbers do not. Stock is left out: runs of ``gram`` words found in three
+    ``jump`` words. A verbatim run of ``least`` words counts. A chain of shorter ones counts if it covers ``least`` words of
+    the item, three quarters of its stretch, and two or more and three quarters of the specific words in it (see TestSet;
+    half of them where it covers 20 words or more), so that sentences of the same make with other names and numbers do not. Stock is left out: runs of ``gram`` words found in three
     items, and a stretch of an item that recurs without the rest of it, with the same first and last word, in more than
     max(``stock_docs``, ``stock_share`` of the documents) different texts, which is counted over the whole corpus. Copies of
     a text count once, and an item that recurs as a whole (all but a tenth) is leaked, however often. Null and empty texts hold nothing; case, punctuation, markup and line breaks do not matter.
@@ -246,7 +281,7 @@ def test_leaks(documents: DataFrame, items: DataFrame, least: int = 12, jump: in
     texts = documents.select(F.col("doc_id").cast("long"), "text").where("text is not null and text <> ''")
     found = None
     for block in blocks:
-        part = texts.mapInArrow(_search(TestSet(block, gram), least, jump), SCHEMA)
+        part = texts.mapInArrow(_search(TestSet(block, gram, least), least, jump), SCHEMA)
         found = part if found is None else found.unionByName(part)
     found = cut_lineage(found)  # a few rows per leaked document, read twice below
     # stock by the number of different texts that hold one stretch of an item and nothing else of it
