@@ -35,3 +35,12 @@ def test_verbatim_runs_without_specific_words(spark, items):  # noqa: F811
     texts = [(1, "Yesterday " + " ".join(words[:12]) + " as planned"), (2, "Later " + " ".join(words[5:17]).upper()), (3, "Yesterday " + " ".join(words[:11]) + " as planned")]
     got = leaks.leaked_items(spark.createDataFrame(texts, DOCUMENTS), items.unionByName(more))
     assert {tuple(r) for r in got.collect()} == {(1, 15), (2, 15)}
+
+
+def test_item_repeated_many_times_in_one_document(spark, items):  # noqa: F811
+    """Two short runs around a changed word are chained however often the document repeats them."""
+    words = P2.split()
+    once = " ".join([*words[:8], "adults", *words[9:18]])
+    text = " ".join(f"Line {k} of row{k} reads so: {once}, and ends with mark{k}." for k in range(70))
+    got = leaks.leaked_items(spark.createDataFrame([(1, text)], DOCUMENTS), items)
+    assert [tuple(r) for r in got.collect()] == [(1, 2)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -144,11 +145,19 @@ def _runs(places: dict[int, list[int]], codes: np.ndarray, offset: int) -> list[
 
 
 def _chain(runs: list[tuple[int, int, int]], jump: int) -> list[tuple[int, int, int]]:
-    """The runs in order that cover the most words: single words changed, added or dropped between them, and one interruption."""
+    """The runs in order that cover the most words: single words changed, added or dropped between them, and one interruption.
+
+    Any run before another may precede it: those that end near its beginning in the item are found by their end in the document.
+    """
     best: list[tuple[float, int, int]] = []
+    ends: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, (a, b, n) in enumerate(runs):
         mine = (float(n), 0, -1)
-        for k in range(max(0, i - 60), i):
+        nearby = []
+        for end in range(a - 2, a + n - 1):
+            if line := ends.get(end):
+                nearby += [k for _, k in line[bisect_left(line, (b - max(3, jump), -1)) : bisect_right(line, (b + n - 2, i))]]
+        for k in sorted(nearby):
             pa_, pb, pn = runs[k]
             gap_a, gap_b = a - pa_ - pn, b - pb - pn
             over = max(0, -gap_a, -gap_b)
@@ -161,6 +170,7 @@ def _chain(runs: list[tuple[int, int, int]], jump: int) -> list[tuple[int, int,
                 if worth > mine[0]:
                     mine = (worth, best[k][1] + (not near), k)
         best.append(mine)
+        insort(ends[a + n], (b + n, i))
     out, i = [], int(np.argmax([x[0] for x in best])) if best else -1
     while i >= 0:
         out.append(runs[i])
@@ -233,7 +243,8 @@ def _search(tests: TestSet, least: int, jump: int):
                 for part in [chain] if sure and len(took) >= 0.75 * (took[-1] + 1 - took[0]) else [[r] for r in chain if r[2] >= least]:
                     took = sorted({a + k for a, _, m in part for k in range(m)})
                     mine.append((ids[d], item, field, took, len(took), max(m for _, _, m in part), min(b for _, b, _ in part) - start, int(tests.specific[tests.texts[n][took]].sum())))
-                runs = [r for r in runs if r not in set(chain)]
+                gone = set(chain)
+                runs = [r for r in runs if r not in gone]
             if mine:
                 text_key = int.from_bytes(blake2b(" ".join(words(texts[d])).encode(), digest_size=8).digest(), "big", signed=True)
                 out += [(*x, text_key, min(y[3][0] for y in mine), max(y[3][-1] for y in mine), len(tests.texts[n])) for x in mine]
