@@ -190,7 +190,7 @@ def _search(tests: TestSet, least: int, jump: int):
         position, code = suffix_array(stream, tests.base, tests.known)
         if not len(position):
             return []
-        # every test suffix, by binary search, with all the places that share its beginning
+        # test suffixes by their first three words, by binary search, with all the places that share these
         low, high = np.searchsorted(code, tests.code, "left"), np.searchsorted(code, tests.code, "right")
         suffix, place = _places(position, low, high)
         doc = np.searchsorted(np.array(ends), place, "right")
@@ -269,8 +269,8 @@ def _search(tests: TestSet, least: int, jump: int):
 def test_leaks(documents: DataFrame, items: DataFrame, least: int = 12, jump: int = 150, stock_share: float = 0.005, stock_docs: int = 30, gram: int = 8) -> DataFrame:
     """(doc_id, item_id, field, matched, longest, location, specific): the passages and questions found in each document.
 
-    Every shard of the corpus (some 4 MB of text) gets a suffix array over its words; every test
-    suffix is binary-searched in it. The verbatim runs of an item in a document are chained: single words may be
+    Every shard of the corpus (some 4 MB of text) gets a suffix array over its words; test runs of twelve words are
+    binary-searched in it in full, other test suffixes by their first three words, and what is found is extended. The verbatim runs of an item in a document are chained: single words may be
     changed, added or dropped between runs, and once the document may interrupt them by up to
     ``jump`` words. A verbatim run of ``least`` words counts. A chain of shorter ones counts if it covers ``least`` words of
     the item, three quarters of its stretch, and two or more and three quarters of the specific words in it (see TestSet;
