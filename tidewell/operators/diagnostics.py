@@ -66,9 +66,8 @@ def panel_diagnostics(packed: DataFrame, panel: str, edges: list[tuple[str, str]
             out += [(name, "lead_lag", f"lag:{pair}", float(lag)), (name, "lead_lag", f"r:{pair}", best)]
             if width >= 16:
                 out += [(name, "transfer_entropy", f"{places[i]}>{places[j]}", pk.transfer_entropy(x[i], x[j])), (name, "transfer_entropy", f"{places[j]}>{places[i]}", pk.transfer_entropy(x[j], x[i]))]
-        if len(x) <= 100:
-            out += [(name, "dtw_cluster", p, float(c)) for p, c in zip(places, pk.clusters(x))]
-        if near and len(x) <= 100:
+        out += [(name, "dtw_cluster", p, float(c)) for p, c in zip(places, pk.clusters(x))]
+        if near:
             at = {p: i for i, p in enumerate(places)}
             lists: list[list[int]] = [[] for _ in places]
             for a, b in near:
