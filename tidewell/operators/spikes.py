@@ -2,7 +2,7 @@
 
 A local-level state-space model is filtered forward and backward over every series. Readings whose
 standardised innovation is too large are withheld from the update; a reading is a spike if it is
-so against both filters. A run of vanishing innovations marks a stuck sensor.
+so against both filters. Stuck runs are found as runs of equal readings, without the filter.
 """
 
 from __future__ import annotations
