@@ -45,7 +45,8 @@ def plan(counts: np.ndarray) -> list[tuple[Counter, int]]:
     """Patterns of lengths, each with the number of containers it fills; ``counts[n]`` items of length n, capacity len(counts) - 1.
 
     Single, pair and triple sums are looked up by their complement: what is left in a container is
-    filled exactly by one, two or three items if such lengths are available. A pattern is used as
+    filled exactly by one, two or three items if such lengths are available, for gaps of up to six mean
+    lengths and, of three, with one of the 24 largest lengths that leave room. A pattern is used as
     often as its lengths last, so every pattern exhausts a length. Where no complement is exact,
     the largest item that fits goes in, and what then remains stays empty.
     """
