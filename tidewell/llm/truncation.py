@@ -27,9 +27,9 @@ EVIDENCE = 9.0
 #: Width of the bins of log length in which texts away from limits are counted.
 STEP = 0.05
 #: Endings after which the last sentence is finished, so that a text is no case wherever it was cut.
-FINISHED = ("stop", "row", "count", "own_dots")
+FINISHED = ("stop", "row", "count")
 UNFINISHED = ("letter", "digit", "other")
-KINDS = (*FINISHED, "item", "link", "signature", *UNFINISHED)
+KINDS = (*FINISHED, "own_dots", "stock_dots", "item", "link", "signature", *UNFINISHED)
 MARKS = ("none", "dots", "remnant")
 #: Characters after the last sentence, line or word in which the mark of a cut is sought; the rest of the text is read whole.
 MARK_REACH = 400
@@ -145,10 +145,10 @@ def _ending(documents: DataFrame) -> DataFrame:
         F.when(dots, F.xxhash64(sentence)).alias("phrase"),
     )
     ends = cut_lineage(out)
-    # dots are the author's own if different texts end in the same sentence with them; only such endings are shuffled
+    # dots are the author's own if texts of different length end in the same sentence with them; only such endings are shuffled
     dotted = F.col("phrase").isNotNull() & F.col("kind").isin(*UNFINISHED)
-    own = ends.where(dotted).groupBy("phrase").agg(F.count_distinct("same").alias("texts")).where("texts > 1").select(F.col("phrase").alias("of"))
-    marked = ends.where(dotted).join(own, F.col("phrase") == F.col("of"), "left").withColumn("kind", F.when(F.col("of").isNotNull(), "own_dots").otherwise(F.col("kind"))).drop("of")
+    own = ends.where(dotted).groupBy("phrase").agg(F.count_distinct(F.col("sizes")[0]["length"]).alias("lengths")).where("lengths > 1").select(F.col("phrase").alias("of"), F.when(F.col("lengths") >= 10, "stock_dots").otherwise("own_dots").alias("dots"))
+    marked = ends.where(dotted).join(own, F.col("phrase") == F.col("of"), "left").withColumn("kind", F.coalesce("dots", "kind")).drop("of", "dots")
     return marked.unionByName(ends.where(~dotted)).drop("phrase")
 
 
@@ -256,8 +256,8 @@ def judge(documents: DataFrame, evidence: float = EVIDENCE, rounds: int = 4) ->
     posterior is the censoring posterior of the length: at a candidate limit of the source see ``length_limits``; elsewhere
     the share of transfer cuts among texts of that length, found by at most ``rounds`` rounds of EM over all texts. The log odds add to it the likelihood ratios of the
     ending (kind and mark) and of a stated length well beyond the text, learned from all texts and each source's own. A text is truncated if the odds are for a cut and its last sentence is unfinished: sentence ends,
-    table rows, counts in brackets and dots of the author's own (different texts end in the same sentence with dots) are finished
-    by definition, even at a limit. Lists, links and signatures are decided by the odds; ties (log odds of zero) are not cut.
+    table rows and counts in brackets are finished by definition, even at a limit. Lists, links, signatures and dots of the author's own
+    (texts of different length end in the same sentence with dots; of ten lengths or more: stock_dots) are decided by the odds; ties (log odds of zero) are not cut.
     Texts of unknown source share one model. A posterior of 0 for every length gives no cut at all.
     """
     ends = _ending(documents)
