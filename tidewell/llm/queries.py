@@ -20,6 +20,9 @@ def queries() -> dict[str, Query]:
         "p8_fill": lambda s, d: packing.fill_report(packing.pack(table(s, d, "documents"), table(s, d, "pack_capacity")), table(s, d, "pack_capacity")),
         "p9_found": lambda s, d: leaks.leaked_items(table(s, d, "documents"), table(s, d, "eval_item")),
         "p9_leaks": lambda s, d: leaks.test_leaks(table(s, d, "documents"), table(s, d, "eval_item")),
+        "p9_longest": lambda s, d: leaks.longest_matches(table(s, d, "documents"), table(s, d, "eval_item")),
+        "p9_stock": lambda s, d: leaks.stock_passages(table(s, d, "documents"), table(s, d, "eval_item")),
+        "p9_clean_documents": lambda s, d: leaks.without_leaks(table(s, d, "documents"), table(s, d, "eval_item")),
         "p10_found": lambda s, d: truncation.cut_texts(table(s, d, "documents")),
         "p10_rates": lambda s, d: truncation.rates(table(s, d, "documents")),
         "p10_limits": lambda s, d: truncation.length_limits(table(s, d, "documents")),
