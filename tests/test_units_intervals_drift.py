@@ -72,6 +72,29 @@ def test_unified_rows(spark):
     assert got == {0: {"jml_kasus": "4", "lat": "1.25"}, 1: {"jml_kasus": "5", "lat": None}, 2: {"z": "1"}}
 
 
+def test_renames_by_content_alone(spark):
+    """Names without a common letter are matched by their values; columns of other content in the same place are not."""
+    rng = np.random.default_rng(1)
+    towns, sexes = [f"Town {c}" for c in "abcdef"], ["male", "female"]
+    row = lambda: {"qqq": str(rng.choice(towns)), "vvv": int(rng.poisson(300)), "www": str(rng.choice(sexes))}
+    first = [row() for _ in range(30)]
+    second = [{"xyz": r["qqq"], "kk": r["vvv"], "www": r["www"]} for r in (row() for _ in range(30))]
+    third = [{"date": f"2024-01-{k + 1:02d}", "kk": r["vvv"], "www": r["www"]} for k, r in enumerate(row() for _ in range(30))]
+    datasets, records = drifted(spark, [(i, "f", "{}", 3, i) for i in (1, 2, 3)], [(i, p) for i, rows in ((1, first), (2, second), (3, third)) for p in rows])
+    got = {tuple(r) for r in drift.schema_changes(datasets, records).collect()}
+    assert got == {(2, "renamed", "qqq", "xyz"), (2, "renamed", "vvv", "kk"), (3, "removed", "xyz", ""), (3, "added", "", "date")}
+
+
+def test_unified_rows_keep_everything(spark):
+    """Kinds are unified, what can't be read stays as written, and no value is lost where two columns come to one name."""
+    v = [(1, "f", json.dumps({"fields": {"n": "int", "d": "date"}}), 2, 0), (2, "f", json.dumps({"fields": {"n": "double", "d": "date"}}), 2, 1)]
+    datasets, records = drifted(spark, v, [(1, {"n": "3", "d": "2024-02-01 10:00:00", "N": "4"}), (2, {"n": "2,5", "d": "soon"})])
+    rows = {r.bronze_record_id: r for r in drift.unified_rows(datasets, records).collect()}
+    assert rows[0]["values"] == {"n": "3.0", "d": "2024-02-01"} and rows[0]["others"] == {"n": ["4"]} and rows[0]["unread"] == {}
+    assert rows[1]["values"] == {"n": "2.5", "d": None} and rows[1]["unread"] == {"d": "soon"}
+    assert {tuple(r) for r in drift.unified_columns(datasets, records).collect()} == {("f", "n", "decimal", 2), ("f", "d", "date", 2)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10**6))
 def test_matching_is_optimal(n, m, seed):

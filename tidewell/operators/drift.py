@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import cut_lineage
+
 # Type words by kind, without a length in brackets.
 TYPE_WORDS = {
     "whole": ("int", "integer", "bigint", "smallint", "int2", "int4", "int8", "int16", "int32", "int64", "long", "short", "serial"),
@@ -18,42 +20,12 @@ TYPE_WORDS = {
     "date": ("date", "timestamp", "datetime", "timestamp without time zone"),
     "boolean": ("bool", "boolean", "logical"),
 }
-# Column names of one meaning, English and Indonesian.
-SAME_MEANING = (
-    ("larva_free_index", "abj", "angka_bebas_jentik"),
-    ("admitted", "dirawat", "rawat_inap"),
-    ("age_group", "kelompok_umur", "umur"),
-    ("incidence_rate", "angka_kesakitan", "ir"),
-    ("month", "bulan", "bln", "bulan_ke", "bulan_laporan"),
-    ("longitude", "bujur", "lon"),
-    ("latitude", "lintang", "lat"),
-    ("fatality_rate", "case_fatality", "cfr"),
-    ("cases", "jumlah_kasus", "jml_kasus", "total_kasus", "kasus"),
-    ("note", "catatan", "keterangan"),
-    ("confirmed", "konfirmasi", "positif_lab"),
-    ("rainfall", "curah_hujan", "hujan_mm"),
-    ("deaths", "meninggal", "kematian", "jml_meninggal"),
-    ("disease", "penyakit", "nama_penyakit"),
-    ("district", "kabupaten", "kab_kota", "nama_kabupaten"),
-    ("week", "epiweek", "minggu", "minggu_ke"),
-    ("facility", "faskes", "puskesmas", "nama_puskesmas"),
-    ("fogging", "fogging_count", "jml_fogging"),
-    ("sex", "gender", "jenis_kelamin", "jk"),
-    ("species", "spesies", "jenis_vektor"),
-    ("population", "penduduk", "jml_penduduk"),
-    ("suspected", "suspek", "jml_suspek"),
-    ("subdistrict", "kecamatan", "nama_kecamatan"),
-    ("officer_code", "petugas_kode", "kode_petugas"),
-    ("outbreak_flag", "klb", "status_klb"),
-    ("onset_date", "tanggal_onset", "tgl_onset"),
-    ("report_date", "tanggal_lapor", "tgl_lapor"),
-    ("source", "origin", "sumber", "sumber_data"),
-    ("province", "provinsi", "prov", "nama_provinsi"),
-    ("verified", "terverifikasi", "sudah_verifikasi"),
-    ("temperature", "suhu", "suhu_rata"),
-    ("year", "tahun", "thn", "tahun_laporan"),
-)
 HASHES = 12
+SHAPES = 6
+#: Likeness from which a pair of columns is a rename.
+LEAST = 0.55
+#: Weights of the evidence for one content: shape of the values, the values themselves, kind, place among the columns that stay, letters of the name.
+WEIGHTS = {"shape": 0.25, "values": 0.25, "kind": 0.1, "place": 0.3, "letters": 0.1}
 
 
 def column_name(name: Column) -> Column:
@@ -94,13 +66,14 @@ def profiles(records: DataFrame) -> DataFrame:
     """(dataset_id, seen, profile) of the payload columns.
 
     ``seen`` has the names in their order in the payloads; ``profile`` maps a name to the share of
-    numbers and whole numbers among its values, their mean and spread, and a min-hash sketch of
-    HASHES values. One partial aggregation per (dataset_id, name), so no version is too long.
+    numbers and whole numbers among its values, their mean and spread, their mean length, a min-hash sketch of
+    HASHES values and one of SHAPES shapes of values (runs of letters and of digits as one). One partial aggregation per (dataset_id, name), so no version is too long.
     """
     cells = records.select("dataset_id", F.posexplode_outer(F.from_json("payload", "map<string,string>")).alias("place", "key", "value")).where("key is not null")
     cells = cells.select("dataset_id", "place", column_name(F.col("key")).alias("name"), F.when(F.trim("value") != "", F.trim("value")).alias("value"))
     number = F.expr("try_cast(replace(value, ',', '.') as double)")
-    cells = cells.withColumn("number", number)
+    shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}+", "a"), r"\d+", "9")
+    cells = cells.withColumn("number", number).withColumn("shape", shape)
     stats = cells.groupBy("dataset_id", "name").agg(
         F.min("place").alias("place"),
         F.count("value").alias("n"),
@@ -109,8 +82,10 @@ def profiles(records: DataFrame) -> DataFrame:
         F.avg("number").alias("mean"),
         F.coalesce(F.stddev_pop("number"), F.lit(0.0)).alias("spread"),
         F.array(*[F.coalesce(F.min(F.xxhash64(F.lit(i), "value")), F.lit(0)) for i in range(HASHES)]).alias("sketch"),
+        F.array(*[F.coalesce(F.min(F.xxhash64(F.lit(i), "shape")), F.lit(0)) for i in range(SHAPES)]).alias("shapes"),
+        F.coalesce(F.avg(F.length("value")), F.lit(0.0)).alias("chars"),
     )
-    entry = F.struct("place", "name", F.struct("n", "numbers", "wholes", "mean", "spread", "sketch").alias("p"))
+    entry = F.struct("place", "name", F.struct("n", "numbers", "wholes", "mean", "spread", "sketch", "shapes", "chars").alias("p"))
     # a list as long as the file has columns
     lists = stats.groupBy("dataset_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     return lists.select("dataset_id", F.transform("e", lambda e: e["name"]).alias("seen"), F.map_from_entries(F.transform("e", lambda e: F.struct(e["name"], e["p"]))).alias("profile"))
@@ -158,39 +133,37 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
     return [(j, i) for i, j in pairs] if turned else pairs
 
 
-_MEANING = {name: i for i, names in enumerate(SAME_MEANING) for name in names}
-
-
-def name_likeness(a: str, b: str) -> float:
-    """1 for names of one meaning, 0 for known names of different meaning, else the likeness of the letters."""
-    x, y = _MEANING.get(a), _MEANING.get(b)
-    if x is not None and y is not None:
-        return float(x == y)
-    return SequenceMatcher(None, a, b).ratio()
+def _numbers_like(a: dict, b: dict) -> float:
+    """How well two samples of numbers can come from one distribution: their means against the sampling error, and their spreads."""
+    error = np.sqrt(a["spread"] ** 2 / a["numbers"] + b["spread"] ** 2 / b["numbers"]) + 0.02 * max(abs(a["mean"]), abs(b["mean"])) + 1e-9
+    spread = min(a["spread"], b["spread"]) / (max(a["spread"], b["spread"]) + 1e-9) if max(a["spread"], b["spread"]) > 0 else 1.0
+    return float(np.exp(-0.125 * ((a["mean"] - b["mean"]) / error) ** 2)) * (0.5 + 0.5 * float(np.sqrt(spread)))
 
 
-def _content(a: dict | None, b: dict | None) -> tuple[float, float]:
-    """(likeness of the kind of values, likeness of the values) of two profiles; a half where one is missing."""
+def _content(a: dict | None, b: dict | None) -> tuple[float, float, float]:
+    """(likeness of the kind of values, of their shapes, of the values) of two profiles; undecided where one is missing."""
     if not a or not b or not a["n"] or not b["n"]:
-        return 0.5, 0.5
-    same_kind = 1 - max(abs(a["numbers"] / a["n"] - b["numbers"] / b["n"]), 0.5 * abs(a["wholes"] / a["n"] - b["wholes"] / b["n"]))
-    shared = float(np.mean(np.array(a["sketch"]) == np.array(b["sketch"])))
+        return 0.5, 0.4, 0.4
+    kind = 1 - max(abs(a["numbers"] / a["n"] - b["numbers"] / b["n"]), 0.5 * abs(a["wholes"] / a["n"] - b["wholes"] / b["n"]))
+    shape = float(np.mean(np.array(a["shapes"]) == np.array(b["shapes"])))
     if a["numbers"] > 0.5 * a["n"] and b["numbers"] > 0.5 * b["n"]:
-        gap = abs(a["mean"] - b["mean"]) / (a["spread"] + b["spread"] + 1e-9 + 0.05 * abs(a["mean"]))
-        shared = max(shared, float(np.exp(-gap)))
-    return same_kind, shared
+        return kind, (shape + kind) / 2, _numbers_like(a, b)
+    shared = float(np.mean(np.array(a["sketch"]) == np.array(b["sketch"])))
+    length = min(a["chars"], b["chars"]) / max(a["chars"], b["chars"], 1e-9)
+    return kind, shape, max(shared, 0.7 * length**2 * shape)
 
 
 def likeness(old: dict, new: dict, places: int) -> float:
-    """Score of a pair of columns from name, kind of values, values and place; 0.55 and more counts as renamed."""
-    name = name_likeness(old["name"], new["name"])
-    kind, shared = _content(old["profile"], new["profile"])
-    if old["kind"] and new["kind"]:
-        kind = float(old["kind"] == new["kind"])
-    near = 1 - abs(old["place"] - new["place"]) / max(places, 1)
-    if name == 0.0 and old["name"] in _MEANING and new["name"] in _MEANING:
+    """Score of a pair of columns: the evidence of WEIGHTS, 0 where both versions state types and these differ."""
+    if old["kind"] and new["kind"] and old["kind"] != new["kind"]:
         return 0.0
-    return 0.55 * name + 0.2 * kind + 0.15 * shared + 0.1 * near
+    kind, shape, values = _content(old["profile"], new["profile"])
+    if old["kind"] and new["kind"]:
+        kind = 1.0
+    place = float(np.exp(-abs(old["before"] - new["before"]) * 2 / max(places, 4) ** 0.5))
+    letters = SequenceMatcher(None, old["name"], new["name"]).ratio()
+    parts = {"shape": shape, "values": values, "kind": kind, "place": place, "letters": letters}
+    return sum(w * parts[k] for k, w in WEIGHTS.items())
 
 
 def _renames(least: float):
@@ -209,17 +182,8 @@ def _renames(least: float):
     return run
 
 
-def schema_changes(datasets: DataFrame, records: DataFrame, least: float = 0.55) -> DataFrame:
-    """(dataset_id, change_kind, old_name, new_name) against the version before by loaded_at in the same dataset_name.
-
-    added, removed, renamed, retyped and count_mismatch, as stated there. Removed and added columns
-    of a version are matched for the largest total likeness (see ``likeness``); pairs of at least
-    ``least`` are renames. Names are compared in lower case with underscores. Versions without any known column
-    (no schema, no payload) take no part in comparisons, neither as the later nor as the earlier
-    one; versions without a dataset_name have none before them; ties of loaded_at follow dataset_id;
-    a null column_count is no mismatch.
-    """
-    v = versions(datasets, records)
+def _compared(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of all versions: each with the version before it and the names that went and came; those of them with both, described."""
     last = v.select(F.col("dataset_id").alias("before"), F.col("columns").alias("old_columns"), F.col("profile").alias("old_profile"))
     pairs = v.join(last, "before").where(F.size("columns") > 0).where(F.size("old_columns") > 0)
 
@@ -228,11 +192,12 @@ def schema_changes(datasets: DataFrame, records: DataFrame, least: float = 0.55)
 
     def described(names_: Column, columns: str, profile: str) -> Column:
         place = F.transform(columns, lambda x: x["name"])
+        stay = F.array_intersect(names("old_columns"), names("columns"))
         return F.transform(
             names_,
             lambda n: F.struct(
                 n.alias("name"),
-                F.array_position(place, n).cast("int").alias("place"),
+                F.size(F.array_intersect(F.slice(place, 1, F.array_position(place, n).cast("int") - 1), stay)).alias("before"),
                 F.filter(columns, lambda x: x["name"] == n)[0]["kind"].alias("kind"),
                 F.element_at(profile, n).alias("profile"),
             ),
@@ -246,6 +211,24 @@ def schema_changes(datasets: DataFrame, records: DataFrame, least: float = 0.55)
         "dataset_id", F.greatest(F.size("columns"), F.size("old_columns")).alias("places"),
         described(F.col("gone"), "old_columns", "old_profile").alias("gone"), described(F.col("come"), "columns", "profile").alias("come"),
     )
+    return compared, both
+
+
+def schema_changes(datasets: DataFrame, records: DataFrame, least: float = LEAST) -> DataFrame:
+    """(dataset_id, change_kind, old_name, new_name) against the version before by loaded_at in the same dataset_name.
+
+    added, removed, renamed, retyped and count_mismatch, as stated there. Removed and added columns
+    of a version are matched for the largest total likeness (see ``likeness``); pairs of at least
+    ``least`` are renames. Names are compared in lower case with underscores. Versions without any known column
+    (no schema, no payload) take no part in comparisons, neither as the later nor as the earlier
+    one; versions without a dataset_name have none before them; ties of loaded_at follow dataset_id;
+    a null column_count is no mismatch.
+    """
+    return _changes(cut_lineage(versions(datasets, records)), least)
+
+
+def _changes(v: DataFrame, least: float = LEAST) -> DataFrame:
+    compared, both = _compared(v)
     renamed = both.mapInArrow(_renames(least), "dataset_id long, old_name string, new_name string, likeness double")
     empty = F.lit("")
     moved = renamed.groupBy("dataset_id").agg(F.collect_list("old_name").alias("olds"), F.collect_list("new_name").alias("news"), F.collect_list(F.struct(F.lit("renamed").alias("change_kind"), "old_name", "new_name")).alias("renames"))
@@ -274,22 +257,70 @@ def schema_changes(datasets: DataFrame, records: DataFrame, least: float = 0.55)
     return listed.select("dataset_id", "c.*").unionByName(counted)
 
 
-def unified_rows(datasets: DataFrame, records: DataFrame) -> DataFrame:
-    """(bronze_record_id, dataset_id, dataset_name, row_number, values): the raw rows under the latest name of each column.
+def _final_names(v: DataFrame, least: float) -> DataFrame:
+    """(dataset_id, dataset_name, columns, later) of every version, ``later`` being the renames of all later versions in order."""
+    numbered = v.select("dataset_id", "dataset_name", "number", "columns")
+    renames = _changes(v, least).where("change_kind = 'renamed'").join(numbered, "dataset_id").groupBy("dataset_name").agg(F.array_sort(F.collect_list(F.struct("number", "old_name", "new_name"))).alias("renames"))
+    none = F.array().cast("array<struct<number:int,old_name:string,new_name:string>>")
+    return numbered.join(renames, "dataset_name", "left").select("dataset_id", "dataset_name", "columns", F.filter(F.coalesce("renames", none), lambda r: r["number"] > F.col("number")).alias("later"))
+
+
+def _followed(name: Column, later: Column) -> Column:
+    return F.aggregate(later, name, lambda n, r: F.when(r["old_name"] == n, r["new_name"]).otherwise(n))
+
+
+def unified_columns(datasets: DataFrame, records: DataFrame, least: float = LEAST) -> DataFrame:
+    """(dataset_name, column_name, kind, versions): the columns of the consistent table of each file.
 
-    ``values`` maps column names to text, decimal commas turned to points, blanks to null. A column is followed through the
-    renames of all later versions of its file; where two columns of a row come to one name, the first keeps it.
-    Records without a known dataset keep their own names. Unreadable payloads give null values.
+    A column is followed through its renames. kind is the one all versions state; whole and decimal numbers make decimal,
+    any other mixture text, and text where none states it. versions counts the versions that have the column. Datasets without a name come out with none.
     """
-    v = versions(datasets, records).select("dataset_id", "dataset_name", "number")
-    renames = schema_changes(datasets, records).where("change_kind = 'renamed'").join(v, "dataset_id").groupBy("dataset_name").agg(F.array_sort(F.collect_list(F.struct("number", "old_name", "new_name"))).alias("renames"))
-    known = v.join(renames, "dataset_name", "left")
-    later = F.filter(F.coalesce("renames", F.array().cast("array<struct<number:int,old_name:string,new_name:string>>")), lambda r: r["number"] > F.col("number"))
-    named = records.select("bronze_record_id", "dataset_id", "row_number", F.map_entries(F.from_json("payload", "map<string,string>")).alias("cells")).join(
-        known.select("dataset_id", "dataset_name", later.alias("later")), "dataset_id", "left"
-    )
-    final = F.transform("cells", lambda c: F.aggregate(F.coalesce("later", F.array().cast("array<struct<number:int,old_name:string,new_name:string>>")), column_name(c["key"]), lambda name, r: F.when(r["old_name"] == name, r["new_name"]).otherwise(name)))
-    text = F.transform("cells", lambda c: F.when(F.trim(c["value"]) != "", F.regexp_replace(F.trim(c["value"]), r"^(-?\d+),(\d+)$", "$1.$2")))
-    listed = named.withColumn("names", final).withColumn("texts", text)
-    pairs = F.transform(F.array_distinct("names"), lambda n: F.struct(n, F.element_at(F.col("texts"), F.array_position("names", n).cast("int"))))
-    return listed.select("bronze_record_id", "dataset_id", "dataset_name", "row_number", F.map_from_entries(pairs).alias("values"))
+    return _unified_columns(_final_names(cut_lineage(versions(datasets, records)), least))
+
+
+def _unified_columns(final: DataFrame) -> DataFrame:
+    cells = final.select("dataset_id", "dataset_name", "later", F.explode("columns").alias("c")).select("dataset_id", "dataset_name", _followed(F.col("c.name"), F.col("later")).alias("column_name"), "c.kind")
+    kinds = cells.groupBy("dataset_name", "column_name").agg(F.collect_set("kind").alias("kinds"), F.count_distinct("dataset_id").alias("versions"))
+    number = (F.size("kinds") > 0) & (F.size(F.array_except("kinds", F.array(F.lit("whole"), F.lit("decimal")))) == 0)
+    kind = F.when(F.size("kinds") == 1, F.col("kinds")[0]).when(number, "decimal").otherwise("text")
+    return kinds.select("dataset_name", "column_name", kind.alias("kind"), "versions")
+
+
+def _as_kind(text: Column, kind: Column) -> Column:
+    """``text`` in the one spelling of its kind; null where it can't be read as that."""
+    number = F.regexp_replace(text, r"^(-?\d+),(\d+)$", "$1.$2").try_cast("double")
+    low = F.lower(text)
+    flag = F.when(low.isin("true", "t", "yes", "ya", "1"), "true").when(low.isin("false", "f", "no", "tidak", "0"), "false")
+    day = F.coalesce(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[ T].*)?$", 1).try_cast("date"), *[F.try_to_date(text, f) for f in ("dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "yyyy/MM/dd")])
+    whole = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string"))
+    return F.when(kind == "whole", whole).when(kind == "decimal", number.cast("string")).when(kind == "date", day.cast("string")).when(kind == "boolean", flag).otherwise(F.regexp_replace(text, r"^(-?\d+),(\d+)$", "$1.$2"))
+
+
+def unified_rows(datasets: DataFrame, records: DataFrame, least: float = LEAST) -> DataFrame:
+    """(bronze_record_id, dataset_id, dataset_name, row_number, values, unread, others): the raw rows under the latest name of each column.
+
+    ``values`` maps column names to values in the one kind of the column (see ``unified_columns``): numbers with a decimal point,
+    dates as yyyy-mm-dd, true and false; blanks are null. A value that can't be read as that kind is null there and stands as
+    written in ``unread``. A column is followed through the renames of all later versions of its file; where several columns
+    of a row come to one name, the first value that is not blank is taken and the further ones are kept in ``others``.
+    Records without a known dataset keep their own names, as text. Unreadable payloads give null values.
+    """
+    final = cut_lineage(_final_names(cut_lineage(versions(datasets, records)), least))
+    kinds = _unified_columns(final).groupBy(F.col("dataset_name").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("column_name", "kind"))).alias("kinds"))
+    known = final.join(kinds, F.col("dataset_name").eqNullSafe(F.col("file")), "left").select("dataset_id", "dataset_name", "later", "kinds")
+    named = records.select("bronze_record_id", "dataset_id", "row_number", F.map_entries(F.from_json("payload", "map<string,string>")).alias("cells")).join(known, "dataset_id", "left")
+    later = F.coalesce("later", F.array().cast("array<struct<number:int,old_name:string,new_name:string>>"))
+    cells = F.transform("cells", lambda c: F.struct(_followed(column_name(c["key"]), later).alias("name"), F.when(F.trim(c["value"]) != "", F.trim(c["value"])).alias("text")))
+    listed = named.withColumn("cells", cells).withColumn("names", F.array_distinct(F.transform("cells", lambda c: c["name"])))
+
+    def texts(n: Column) -> Column:
+        return F.transform(F.filter("cells", lambda c: (c["name"] == n) & c["text"].isNotNull()), lambda c: c["text"])
+
+    said = listed.withColumn("said", F.transform("names", lambda n: F.struct(n.alias("name"), texts(n).alias("texts"))))
+    read = said.withColumn("read", F.transform("said", lambda x: F.struct(x["name"], F.get(x["texts"], F.lit(0)).alias("text"), _as_kind(F.get(x["texts"], F.lit(0)), F.coalesce(F.element_at("kinds", x["name"]), F.lit("text"))).alias("value"))))
+    return read.select(
+        "bronze_record_id", "dataset_id", "dataset_name", "row_number",
+        F.map_from_entries(F.transform("read", lambda x: F.struct(x["name"], x["value"]))).alias("values"),
+        F.map_from_entries(F.transform(F.filter("read", lambda x: x["text"].isNotNull() & x["value"].isNull()), lambda x: F.struct(x["name"], x["text"]))).alias("unread"),
+        F.map_from_entries(F.transform(F.filter("said", lambda x: F.size(x["texts"]) > 1), lambda x: F.struct(x["name"], F.slice(x["texts"], 2, F.size(x["texts"]))))).alias("others"),
+    )

@@ -8,7 +8,42 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as t
 from tidewell.operators import drift
 
-# Columns that measure something, by their first name in drift.SAME_MEANING; the others describe the row.
+# Names under which raw tables hold a column, English and Indonesian, the canonical one first.
+COLUMN_NAMES = (
+    ("larva_free_index", "abj", "angka_bebas_jentik"),
+    ("admitted", "dirawat", "rawat_inap"),
+    ("age_group", "kelompok_umur", "umur"),
+    ("incidence_rate", "angka_kesakitan", "ir"),
+    ("month", "bulan", "bln", "bulan_ke", "bulan_laporan"),
+    ("longitude", "bujur", "lon"),
+    ("latitude", "lintang", "lat"),
+    ("fatality_rate", "case_fatality", "cfr"),
+    ("cases", "jumlah_kasus", "jml_kasus", "total_kasus", "kasus"),
+    ("note", "catatan", "keterangan"),
+    ("confirmed", "konfirmasi", "positif_lab"),
+    ("rainfall", "curah_hujan", "hujan_mm"),
+    ("deaths", "meninggal", "kematian", "jml_meninggal"),
+    ("disease", "penyakit", "nama_penyakit"),
+    ("district", "kabupaten", "kab_kota", "nama_kabupaten"),
+    ("week", "epiweek", "minggu", "minggu_ke"),
+    ("facility", "faskes", "puskesmas", "nama_puskesmas"),
+    ("fogging", "fogging_count", "jml_fogging"),
+    ("sex", "gender", "jenis_kelamin", "jk"),
+    ("species", "spesies", "jenis_vektor"),
+    ("population", "penduduk", "jml_penduduk"),
+    ("suspected", "suspek", "jml_suspek"),
+    ("subdistrict", "kecamatan", "nama_kecamatan"),
+    ("officer_code", "petugas_kode", "kode_petugas"),
+    ("outbreak_flag", "klb", "status_klb"),
+    ("onset_date", "tanggal_onset", "tgl_onset"),
+    ("report_date", "tanggal_lapor", "tgl_lapor"),
+    ("source", "origin", "sumber", "sumber_data"),
+    ("province", "provinsi", "prov", "nama_provinsi"),
+    ("verified", "terverifikasi", "sudah_verifikasi"),
+    ("temperature", "suhu", "suhu_rata"),
+    ("year", "tahun", "thn", "tahun_laporan"),
+)
+# Columns that measure something, by their first name in COLUMN_NAMES; the others describe the row.
 MEASURES = (
     "cases", "deaths", "confirmed", "suspected", "admitted", "population", "rainfall", "temperature", "larva_free_index", "incidence_rate", "fatality_rate", "fogging",
 )
@@ -17,7 +52,7 @@ DESCRIBES = ("disease", "province", "district", "subdistrict", "facility", "sex"
 
 def meaning(name: Column) -> Column:
     """First name of the meaning a column name has, else the name itself in lower case with underscores."""
-    pairs = {n: names[0] for names in drift.SAME_MEANING for n in names}
+    pairs = {n: names[0] for names in COLUMN_NAMES for n in names}
     plain = drift.column_name(name)
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), plain), plain)
 

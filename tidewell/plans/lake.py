@@ -80,7 +80,7 @@ _LATEST = "latest as (select * from (select *, row_number() over (partition by d
 
 def _silver_sql() -> str:
     """Observations from raw rows: every cell as a row, then one row per measure."""
-    names = ", ".join(f"('{n}', '{several[0]}')" for several in sv.drift.SAME_MEANING for n in several)
+    names = ", ".join(f"('{n}', '{several[0]}')" for several in sv.COLUMN_NAMES for n in several)
     first = ", ".join(f"first(v order by k) filter (name = '{c}') as {c}" for c in (*sv.DESCRIBES, "report_date", "onset_date", "year", "month", "week"))
     measures = ", ".join(f"('{x}')" for x in sv.MEASURES)
     return f"""ms(raw, name) as (values {names}), ks as (select bronze_record_id, dataset_id, payload, unnest(json_keys(payload)) kk, generate_subscripts(json_keys(payload), 1) k from bronze_record),

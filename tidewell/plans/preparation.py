@@ -30,7 +30,8 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: intervals.gaps(table(s, d, "silver_observation")),
         "p3_periods": lambda s, d: intervals.sweep(intervals.closed_intervals(table(s, d, "silver_observation"), "dataset_id")).withColumnRenamed("entity", "dataset_id"),
         "p4_found": lambda s, d: drift.schema_changes(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")),
-        "p4_unified_rows": lambda s, d: drift.unified_rows(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")).withColumn("values", F.to_json("values")),
+        "p4_unified_rows": lambda s, d: drift.unified_rows(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")).select("bronze_record_id", "dataset_id", "dataset_name", "row_number", *[F.to_json(c).alias(c) for c in ("values", "unread", "others")]),
+        "p4_unified_columns": lambda s, d: drift.unified_columns(table(s, d, "metadata_dataset"), table(s, d, "bronze_record")),
         "p5_found": lambda s, d: spikes.implausible_readings(table(s, d, "modeling_series")).select("observation_id"),
     }
 
