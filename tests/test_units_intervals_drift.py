@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,6 +40,19 @@ def test_gaps_and_continuations(spark):
     assert intervals.gaps(df.where("false")).count() == 0
 
 
+def test_number_and_unit_in_text_only(spark):
+    schema = "silver_observation_id long, source_id string, metric string, unit string, value_numeric double, value_text string, provenance string"
+    rows = [(1, "a", "cases", None, None, "37 cases", None), (2, "a", "curah_hujan", None, None, "5,5 inches", None), (3, "a", "rainfall", "''", 2.0, "2", None), (4, "a", "population", None, None, "1.234.567 jiwa", None), (5, "a", "rainfall", None, None, "nihil", None), (6, "a", "rainfall", None, None, "about 1,204.5 mm", None), (7, "a", "rainfall", "", 2.0, None, None), (8, None, "rainfall", None, 2.0, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    reference = spark.createDataFrame([("cases", "cases", "cases", 1.0, 0.0), ("rainfall", "mm", "mm", 1.0, 0.0), ("rainfall", "inch", "mm", 25.4, 0.0), ("population", "people", "people", 1.0, 0.0)], "quantity string, unit_code string, common_unit string, factor double, shift double")
+    got = {r.silver_observation_id: (r.unit_code, r.unit_origin, r.value_common) for r in units.harmonise(df, reference).collect()}
+    assert got[1] == ("cases", "text", 37.0) and got[2] == ("inch", "text", pytest.approx(139.7)) and got[3] == ("inch", "field", 50.8)
+    assert got[4][2] == 1234567.0 and got[5][2] is None and got[6][2] == 1204.5 and got[7] == ("mm", "default", 2.0)
+    usual = units.source_defaults(df.where("silver_observation_id <> 6"), reference)
+    by_source = {r.silver_observation_id: (r.unit_code, r.unit_origin) for r in units.harmonise(df, reference, defaults=usual).collect()}
+    assert by_source[7] == ("inch", "source") and by_source[8] == ("mm", "default")
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)), min_size=1, max_size=25))
 def test_sweep_against_brute_force(spark, spans):

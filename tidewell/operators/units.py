@@ -30,7 +30,7 @@ UNIT_NAMES = {
     ("incidence_rate", "per_million"): ("per million", "per 1m", "/1m", "per 1000000", "/1000000", "per 1000000 people", "per sejuta penduduk", "per juta"),
     ("rainfall", "mm"): ("mm", "millimetre", "millimetres", "millimeter", "millimeters", "milimeter"),
     ("rainfall", "cm"): ("cm", "centimetre", "centimetres", "centimeter", "centimeters", "sentimeter"),
-    ("rainfall", "inch"): ("inch", "inches", "in", "inci"),
+    ("rainfall", "inch"): ("inch", "inches", "in", "inci", "''", '"', "″", "”"),
     ("mean_temperature", "celsius"): ("celsius", "c", "°c", "deg c", "degc", "derajat c", "derajat celsius"),
     ("mean_temperature", "fahrenheit"): ("fahrenheit", "f", "°f", "deg f", "degf", "derajat f", "derajat fahrenheit"),
     ("mean_temperature", "kelvin"): ("kelvin", "k"),
@@ -62,6 +62,7 @@ USUAL_SIZE = {
 }
 
 TEXT_UNIT = r"^[^0-9]*[0-9][0-9.,]*\s*(.*)$"
+TEXT_NUMBER = r"(-?[0-9][0-9.,]*)"
 NOTE_UNIT = r"(?i)^\s*(?:unit of measure|unit|satuan|angka dalam)\s*:\s*(.*)$"
 METRIC = "^(" + "|".join(sorted((n for names in QUANTITY_NAMES.values() for n in names), key=len, reverse=True)) + ")(?:_(.+))?$"
 
@@ -74,20 +75,48 @@ def spelling(unit: Column) -> Column:
     return F.when(u != "", u)
 
 
+def text_number(text: Column) -> Column:
+    """The first number in ``text``. A single comma or dot is a decimal one; of several, those before the last separate thousands, and all do if they are alike."""
+    n = F.rtrim(F.regexp_extract(text, TEXT_NUMBER, 1), F.lit(".,"))
+    alike = n.rlike(r"^-?[0-9]{1,3}(\.[0-9]{3}){2,}$") | n.rlike(r"^-?[0-9]{1,3}(,[0-9]{3}){2,}$")
+    plain = F.when(alike, F.regexp_replace(n, "[.,]", "")).otherwise(F.regexp_replace(F.regexp_replace(n, r"[.,](?=.*[.,])", ""), ",", "."))
+    return plain.try_cast("double")
+
+
 def _lookup(pairs: dict) -> Column:
     """A literal map, built from fixed values (some 150 entries at most)."""
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observation_id") -> DataFrame:
+#: Rows of a unit reference (or of source defaults) up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _spellings(reference: DataFrame) -> DataFrame:
+    """(quantity, spelling, unit_code): the fixed spellings of units in ``reference``, and its own codes."""
+    fixed = json.dumps([{"quantity": q, "unit_code": code, "spelling": name} for (q, code), several in UNIT_NAMES.items() for name in several])
+    listed = F.from_json(F.lit(fixed), "array<struct<quantity:string,unit_code:string,spelling:string>>")
+    spellings = reference.sparkSession.range(1).select(F.explode(listed).alias("a")).select("a.quantity", "a.spelling", "a.unit_code").union(reference.select("quantity", spelling(F.col("unit_code")), "unit_code"))
+    return spellings.join(reference.select("quantity", "unit_code"), ["quantity", "unit_code"], "left_semi").groupBy("quantity", "spelling").agg(F.min("unit_code").alias("unit_code"))
+
+
+def source_defaults(df: DataFrame, reference: DataFrame, key: str = "silver_observation_id") -> DataFrame:
+    """(source_id, quantity, default_unit): the unit that most rows of a source name for a quantity; ties go to the smaller code."""
+    named = harmonise(df, reference, key).where(F.col("unit_origin").isin("field", "text", "note", "metric")).join(df.select(key, "source_id"), key)
+    counted = named.groupBy("source_id", "quantity", "unit_code").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("source_id", "quantity").agg(F.max_by("unit_code", F.struct("n", F.lit(0) - F.ascii("unit_code"))).alias("default_unit"))
+
+
+def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observation_id", defaults: DataFrame | None = None) -> DataFrame:
     """(key, quantity, unit_code, unit_origin, common_unit, value_common), one row per row of ``df``.
 
-    ``reference`` has quantity, unit_code, common_unit, factor, shift: one row per unit, so it is
-    bounded by the number of units in use and is broadcast. The unit is the first that can be read
+    ``reference`` has quantity, unit_code, common_unit, factor, shift: one row per unit. The value is value_numeric, or
+    the number in value_text where that is null. The unit is the first that can be read
     as one of the quantity's units, from the unit field, after the number in value_text, in the
     note of the provenance, and at the end of the metric name; unit_origin tells which. Failing
     that, a value outside the usual size of its quantity is in the unit that brings it nearest to
-    the typical size (origin size), and any other in the common unit (origin default). Rows
+    the typical size (origin size), then the unit of its source in ``defaults`` (see ``source_defaults``; none unless given; origin source),
+    and any other in the common unit (origin default). Rows
     with an unknown or null metric have null quantity, unit and value; null, NaN and infinite
     values stay as they are. Other columns are ignored.
     """
@@ -95,7 +124,8 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
     metric = F.lower(F.trim("metric"))
     parts = df.select(
         F.col(key).alias("key"),
-        F.col("value_numeric").cast("double").alias("value"),
+        *([F.col("source_id")] if defaults is not None else []),
+        F.coalesce(F.col("value_numeric").cast("double"), text_number(F.col("value_text"))).alias("value"),
         F.element_at(_lookup(names), F.regexp_extract(metric, METRIC, 1)).alias("quantity"),
         spelling(F.col("unit")).alias("by_field"),
         spelling(F.regexp_extract("value_text", TEXT_UNIT, 1)).alias("by_text"),
@@ -103,18 +133,23 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
         spelling(F.regexp_extract(metric, METRIC, 2)).alias("by_metric"),
     )
     origins = ("field", "text", "note", "metric")
-    fixed = json.dumps([{"quantity": q, "unit_code": code, "spelling": name} for (q, code), several in UNIT_NAMES.items() for name in several])
-    listed = F.from_json(F.lit(fixed), "array<struct<quantity:string,unit_code:string,spelling:string>>")
-    spellings = df.sparkSession.range(1).select(F.explode(listed).alias("a")).select("a.*").union(reference.select("quantity", "unit_code", spelling(F.col("unit_code"))))
-    known = spellings.join(reference.select("quantity", "unit_code"), ["quantity", "unit_code"], "left_semi").groupBy("quantity", "spelling").agg(F.min("unit_code").alias("unit_code"))
-    units = (
-        reference.groupBy("quantity")
-        .agg(F.first("common_unit").alias("common_unit"), F.array_sort(F.collect_list(F.struct("unit_code", "factor", "shift"))).alias("units"))
-        .join(known.groupBy("quantity").agg(F.map_from_entries(F.collect_list(F.struct("spelling", "unit_code"))).alias("spellings")), "quantity", "left")
-    )
-    coded = parts.join(F.broadcast(units), "quantity", "left").select(
-        "key", "value", "quantity", "common_unit", "units", *[F.element_at("spellings", F.col(f"by_{o}")).alias(f"by_{o}") for o in origins]
-    )
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows
+
+    few = reference.count() + (defaults.count() if defaults is not None else 0) <= BROADCAST_ROWS
+    coded = parts
+    known = _spellings(reference)
+    for o in origins:
+        one = known.select(F.col("quantity").alias("q"), F.col("spelling").alias("s"), F.col("unit_code").alias("code"))
+        coded = coded.join(small(one), (F.col("quantity") == F.col("q")) & (F.col(f"by_{o}") == F.col("s")), "left").withColumn(f"by_{o}", F.col("code")).drop("q", "s", "code")
+    units = reference.groupBy(F.col("quantity").alias("q")).agg(F.first("common_unit").alias("common_unit"), F.array_sort(F.collect_list(F.struct("unit_code", "factor", "shift"))).alias("units"))
+    coded = coded.join(small(units), F.col("quantity") == F.col("q"), "left").drop("q")
+    if defaults is not None:
+        usual = defaults.select(F.col("source_id").alias("of"), F.col("quantity").alias("q"), "default_unit")
+        coded = coded.join(small(usual), F.col("source_id").eqNullSafe(F.col("of")) & (F.col("quantity") == F.col("q")), "left").drop("of", "q", "source_id")
+    else:
+        coded = coded.withColumn("default_unit", F.lit(None).cast("string"))
     low, high, typical = (F.element_at(_lookup({q: s[i] for q, s in USUAL_SIZE.items()}), F.col("quantity")) for i in range(3))
     whole = F.col("quantity").isin(*[q for q, s in USUAL_SIZE.items() if s[3]])
 
@@ -140,8 +175,8 @@ def harmonise(df: DataFrame, reference: DataFrame, key: str = "silver_observatio
         "value",
         "quantity",
         "common_unit",
-        F.coalesce(named, "sized", "common_unit").alias("unit_code"),
-        F.coalesce(*[F.when(F.col(f"by_{o}").isNotNull(), F.lit(o)) for o in origins], F.when(F.col("sized").isNotNull(), "size"), F.when(F.col("quantity").isNotNull(), "default")).alias("unit_origin"),
+        F.coalesce(named, "sized", "default_unit", "common_unit").alias("unit_code"),
+        F.coalesce(*[F.when(F.col(f"by_{o}").isNotNull(), F.lit(o)) for o in origins], F.when(F.col("sized").isNotNull(), "size"), F.when(F.col("default_unit").isNotNull(), "source"), F.when(F.col("quantity").isNotNull(), "default")).alias("unit_origin"),
         F.col("units"),
     )
     used = F.get(F.filter("units", lambda u: u["unit_code"] == F.col("unit_code")), 0)

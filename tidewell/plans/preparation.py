@@ -70,7 +70,7 @@ def _unit_sql() -> str:
         return f"nullif(rtrim(regexp_replace(trim({y}), '\\.$', '')), '')"
 
     return f"""with alias(quantity, spelling, code) as (values {alias}), metrics(name, quantity) as (values {metric}),
-o as (select silver_observation_id, value_numeric v, m.quantity, {spelled("unit")} u1,
+o as (select silver_observation_id, value_numeric vn, coalesce(value_numeric, try_cast(replace(regexp_extract(value_text, '(-?[0-9][0-9.,]*)', 1), ',', '.') as double)) v, m.quantity, {spelled("unit")} u1,
   {spelled("regexp_extract(value_text, '^[^0-9]*[0-9][0-9.,]*\\s*(.*)$', 1)")} u2,
   {spelled("regexp_extract(json_extract_string(provenance, '$.source_record.note'), '(?i)^\\s*(?:unit of measure|unit|satuan|angka dalam)\\s*:\\s*(.*)$', 1)")} u3,
   {spelled(f"regexp_extract(lower(trim(metric)), '{pattern}', 2)")} u4
@@ -86,14 +86,14 @@ s as (select *, case when code is not null or v is null or not isfinite(v) or v
   when quantity = 'population' and v > 0 and v < 5000 then case when v * 1e3 >= 5000 and (v * 1e6 > 1e9 or abs(ln(v * 1e3 / 1e5)) <= abs(ln(v * 1e6 / 1e5))) then 'thousand_people' when v * 1e6 >= 5000 then 'million_people' end
   when quantity = 'larva_free_index' and v > 0 and v < 1 then case when v >= 0.01 then 'proportion' end
   when quantity = 'larva_free_index' and v > 100 and v <= 1000 then 'per_mille' end sized from n),
-f as (select s.silver_observation_id, s.quantity, v, c.common_unit, coalesce(code, sized, c.common_unit) unit_code,
+f as (select s.silver_observation_id, s.quantity, v, vn, c.common_unit, coalesce(code, sized, c.common_unit) unit_code,
   coalesce(origin, case when sized is not null then 'size' when s.quantity is not null then 'default' end) unit_origin
   from s left join (select distinct quantity, common_unit from unit_reference) c on c.quantity = s.quantity)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": _unit_sql() + " select silver_observation_id, unit_code from f where v is not null and unit_code <> common_unit",
+        "p2_found": _unit_sql() + " select silver_observation_id, unit_code from f where vn is not null and unit_code <> common_unit",
         "p2_units": _unit_sql() + """ select f.silver_observation_id, f.quantity, f.unit_code, f.unit_origin, f.common_unit, v * r.factor + r.shift as value_common
 from f left join unit_reference r on r.quantity = f.quantity and r.unit_code = f.unit_code""",
         "p3_found": _spans() + " select dataset_id, strftime(z + 1, '%Y-%m-%d') as gap_start, strftime(follows - 1, '%Y-%m-%d') as gap_end from n where follows is not null",
