@@ -2,7 +2,8 @@
 
 A local-level state-space model is filtered forward and backward over every series. Readings whose
 standardised innovation is too large are withheld from the update; a reading is a spike if it is
-so against both filters. Stuck runs are found as runs of equal readings, without the filter.
+so against both filters. A series is stuck where the variance of the innovations of the same filter without observation noise
+(so that the state follows every reading) vanishes over a window; runs of equal readings there are then checked exactly.
 """
 
 from __future__ import annotations
@@ -95,6 +96,30 @@ def kalman(y: np.ndarray, gap: np.ndarray, n: np.ndarray, q: np.ndarray, r: np.n
     return mean, var
 
 
+def vanishing(y: np.ndarray, again: np.ndarray, n: np.ndarray, scale: np.ndarray, run: int) -> np.ndarray:
+    """Readings in a window of ``run`` in which the innovation variance is zero, to a millionth of the variance ``scale`` of the series.
+
+    The filter has no observation noise, so its gain is one and the innovation is the step from the state to the reading; where a
+    period has several readings, and one of them is that of the period before (``again``), the state finds it there.
+    """
+    width = y.shape[1]
+    inside = np.arange(width) < n[:, None]
+    if width < run:
+        return np.zeros_like(inside)
+    mean, _ = kalman(y, np.ones_like(y), n, np.ones(len(y)), np.full(len(y), 1e-12), np.zeros(len(y), bool), np.inf, 1)
+    innovation = np.where(again, 0.0, y - mean)
+    innovation[:, 0] = np.inf
+    still = np.where(inside, innovation**2 <= 1e-6 * scale[:, None], False)
+    # mean square over run - 1 innovations: it vanishes only where each of them does
+    total = np.cumsum(np.concatenate([np.zeros((len(y), 1)), ~still], axis=1), axis=1)
+    last = np.zeros_like(inside)
+    last[:, run - 1 :] = total[:, run:] - total[:, 1 : width - run + 2] == 0
+    out = np.zeros_like(inside)
+    for k in range(run):
+        out[:, : width - k] |= last[:, k:]
+    return out & inside
+
+
 def _backward(y: np.ndarray, gap: np.ndarray, n: np.ndarray, *rest) -> tuple[np.ndarray, np.ndarray]:
     width = y.shape[1]
     turned = (n[:, None] - 1 - np.arange(width)) % width
@@ -136,7 +161,14 @@ def judge(b: Batch, metric: list[str | None], limit: float, stuck_run: int, stuc
     series = owner[heads]
     step = np.where(first, 0, np.append(0, np.diff(period)))
 
+    # periods in which some reading repeats one of the period before
+    at_value = np.lexsort((cell_of[usable], b.value[usable], own[usable]))
+    sorted_cell, sorted_own, sorted_value = cell_of[usable][at_value], own[usable][at_value], b.value[usable][at_value]
+    repeats = np.zeros(len(lead), bool)
+    repeats[sorted_cell[1:][(sorted_own[1:] == sorted_own[:-1]) & (sorted_value[1:] == sorted_value[:-1]) & (sorted_cell[1:] - sorted_cell[:-1] == 1)]] = True
+
     mean_f, var_f, mean_b, var_b, middle_of, reach_of = (np.zeros(len(lead)) for _ in range(6))
+    stopped = np.zeros(len(lead), bool)
     for rows in _blocks(count):
         width = int(count[rows].max())
         line = np.full(len(heads), -1)
@@ -154,6 +186,9 @@ def judge(b: Batch, metric: list[str | None], limit: float, stuck_run: int, stuc
         reach = np.nanquantile(np.abs(inside - center[:, None]), 0.9, axis=1)
         middle_of[mine], reach_of[mine] = center[of[mine]], reach[of[mine]]
         q, r = noise(grid, count[rows], floor)
+        again = np.zeros((len(rows), width), bool)
+        again[at] = repeats[mine]
+        stopped[mine] = vanishing(grid, again, count[rows], np.maximum(q + r, 1e-12), stuck_run)[at]
         more = (q, r, kind == 0, limit, 3)
         for (mean, var), (to_mean, to_var) in ((kalman(grid, gap, count[rows], *more), (mean_f, var_f)), (_backward(grid, gap, count[rows], *more), (mean_b, var_b))):
             to_mean[mine], to_var[mine] = mean[at], var[at]
@@ -191,13 +226,13 @@ def judge(b: Batch, metric: list[str | None], limit: float, stuck_run: int, stuc
     hit = usable[spike]
     reason[hit], score[hit] = 1, least_z[spike]
 
-    # stuck: one value over stuck_run or more observed periods, in a series that seldom repeats a value otherwise
+    # stuck: where innovations vanish, one value over stuck_run or more observed periods, in a series that seldom repeats a value otherwise
     by_value = np.lexsort((cell, b.value[usable], own[usable]))
     u, c = usable[by_value], cell[by_value]
     new = np.append(True, (own[u][1:] != own[u][:-1]) | (b.value[u][1:] != b.value[u][:-1]) | (c[1:] - c[:-1] > 1))
     run = np.cumsum(new) - 1
     cells_in = np.bincount(run, weights=np.append(True, c[1:] != c[:-1]) | new)
-    long = (cells_in >= stuck_run)[run]
+    long = ((cells_in >= stuck_run) & (np.bincount(run, weights=stopped[c]) > 0))[run]
     inside = np.zeros(len(lead), bool)
     inside[c[long]] = True
     pair = np.append(False, ~first[1:] & ~(inside[1:] & inside[:-1]))
@@ -254,8 +289,8 @@ def implausible_readings(df: DataFrame, limit: float = 3.0, stuck_run: int = 7,
     reason is impossible (outside METRIC_RANGES, infinite, or a fractional count), spike (one or
     two neighbouring periods beyond ``limit`` standardised innovations of the forward and the
     backward filter, or half of it where the reading also leaves twice the usual reach of the
-    series, and of a least size; see LEAST_SIZE) or stuck (the
-    same value over ``stuck_run`` or more periods with readings, in a series in which less than
+    series, and of a least size; see LEAST_SIZE) or stuck (innovations of vanishing variance, and exactly the
+    same value, over ``stuck_run`` or more periods with readings, in a series in which less than
     ``stuck_share`` of the other neighbouring periods repeat a value). Outbreaks, seasons and
     lasting changes of level span three periods or more and are none. All rows that repeat a
     flagged reading (same series, date and value) come out. Null and NaN values and rows without a
