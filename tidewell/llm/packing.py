@@ -41,72 +41,100 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long")
 
 
-def plan(counts: np.ndarray) -> list[tuple[Counter, int]]:
-    """Patterns of lengths, each with the number of containers it fills; ``counts[n]`` items of length n, capacity len(counts) - 1.
+class Sums:
+    """Available lengths under counts, with an index of the pair sums they make: ``pairs[s]`` pairs of lengths sum to ``s``.
 
-    Single, pair and triple sums are looked up by their complement: what is left in a container is
-    filled exactly by one, two or three items if such lengths are available, for gaps of up to six mean
-    lengths and, of three, with one of the 24 largest lengths that leave room. A pattern is used as
-    often as its lengths last, so every pattern exhausts a length. Where no complement is exact,
-    the largest item that fits goes in, and what then remains stays empty.
+    The index is built once and corrected whenever a length runs out (or has one item left, for pairs of equal lengths), so
+    that single, pair and triple sums are looked up and not searched for.
     """
-    left = counts.astype(np.int64).copy()
-    capacity = len(left) - 1
-    out: list[tuple[Counter, int]] = []
 
-    def pair(gap: int) -> int:
-        """The larger of two available lengths that sum to ``gap``, or 0."""
-        if gap < 2:
-            return 0
+    def __init__(self, counts: np.ndarray) -> None:
+        self.left = counts.astype(np.int64).copy()
+        self.left[0] = 0
+        self.capacity = len(self.left) - 1
+        self.pairs = np.zeros(self.capacity + 1, np.int64)
+        lengths = np.flatnonzero(self.left)
+        for i, n in enumerate(lengths.tolist()):
+            others = lengths[i + 1 :]
+            self.pairs[n + others[others <= self.capacity - n]] += 1
+            if self.left[n] > 1 and 2 * n <= self.capacity:
+                self.pairs[2 * n] += 1
+
+    def change(self, n: int, by: int) -> None:
+        """``by`` items of length ``n`` more (or fewer)."""
+        before = int(self.left[n])
+        after = self.left[n] = before + by
+        if (before > 1) != (after > 1) and 2 * n <= self.capacity:
+            self.pairs[2 * n] += 1 if after > 1 else -1
+        if (before > 0) != (after > 0):
+            others = np.flatnonzero(self.left[1 : self.capacity - n + 1]) + 1
+            self.pairs[n + others[others != n]] += 1 if after > 0 else -1
+
+    def pair(self, gap: int) -> list[int]:
+        """Two available lengths that sum to ``gap``, the larger as large as can be."""
+        if gap < 2 or not self.pairs[gap]:
+            return []
         half = (gap + 1) // 2
-        hit = (left[half:gap] > 0) & (left[gap - half : 0 : -1] > 0)
-        if gap % 2 == 0 and len(hit):
-            hit[0] = left[half] > 1
-        at = hit.nonzero()[0]
-        return half + int(at[-1]) if len(at) else 0
+        hit = (self.left[half:gap] > 0) & (self.left[gap - half : 0 : -1] > 0)
+        if gap % 2 == 0:
+            hit[0] = self.left[half] > 1
+        b = half + int(hit.nonzero()[0][-1])
+        return [b, gap - b]
 
-    def complement(gap: int) -> list[int]:
+    def complement(self, gap: int) -> list[int]:
         """One, two or three available lengths that sum to ``gap``, or none."""
-        if left[gap] > 0:
+        if self.left[gap] > 0:
             return [gap]
-        b = pair(gap)
-        if b:
-            return [b, gap - b]
-        for a in (left[1 : gap - 1] > 0).nonzero()[0][::-1][:24] + 1:
-            left[a] -= 1
-            b = pair(gap - int(a))
-            left[a] += 1
-            if b:
-                return [int(a), b, gap - int(a) - b]
+        if two := self.pair(gap):
+            return two
+        # first lengths whose rest is a pair sum, the largest first; the pair must not need the length itself once more than it is there
+        firsts = ((self.left[1 : gap - 1] > 0) & (self.pairs[gap - 1 : 1 : -1] > 0)).nonzero()[0][::-1] + 1
+        for a in firsts.tolist():
+            self.change(a, -1)
+            two = self.pair(gap - a)
+            self.change(a, 1)
+            if two:
+                return [a, *two]
         return []
 
-    usual = max(int((np.arange(capacity + 1) * left).sum() / max(left.sum(), 1)), 1)
-    top = capacity
+
+def plan(counts: np.ndarray) -> list[tuple[Counter, int]]:
+    """Patterns of lengths, each with the number of containers it fills; ``counts[n]`` items of length n, capacity len(counts) - 1.
+
+    What is left in a container is filled exactly by one, two or three items whenever available lengths
+    sum to it; the sums are looked up in an index kept under the counts (see ``Sums``). A pattern is used as
+    often as its lengths last, so every pattern exhausts a length. Where no complement is exact,
+    the largest item that fits goes in, and what then remains is filled in the same way; where none fits it stays empty.
+    """
+    sums = Sums(counts)
+    out: list[tuple[Counter, int]] = []
+    top = sums.capacity
     while True:
-        while top and left[top] == 0:
+        while top and sums.left[top] == 0:
             top -= 1
         if not top:
             return out
-        chosen, gap = [top], capacity - top
-        left[top] -= 1
+        chosen, gap = [top], sums.capacity - top
+        sums.change(top, -1)
         while gap:
-            exact = complement(gap) if gap <= 6 * usual else []
+            exact = sums.complement(gap)
+            for n in exact:
+                sums.change(n, -1)
+            chosen += exact
             if exact:
-                for n in exact:
-                    left[n] -= 1
-                chosen += exact
                 break
-            fits = (left[1 : min(gap, top) + 1] > 0).nonzero()[0]
+            fits = (sums.left[1 : min(gap, top) + 1] > 0).nonzero()[0]
             if not len(fits):
                 break
             n = int(fits[-1]) + 1
-            left[n] -= 1
+            sums.change(n, -1)
             chosen.append(n)
             gap -= n
         pattern = Counter(chosen)
-        more = min(int(left[n]) // k for n, k in pattern.items())
-        for n, k in pattern.items():
-            left[n] -= more * k
+        more = min(int(sums.left[n]) // k for n, k in pattern.items())
+        if more:
+            for n, k in pattern.items():
+                sums.change(n, -more * k)
         out.append((pattern, 1 + more))
 
 
@@ -134,7 +162,7 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
     Texts are whole (part 0) unless longer than the capacity: then all parts but the last fill a
     container. Null and empty texts hold no tokens and come out nowhere; equal texts are packed
     one by one; repeated ids keep their rows. Blocks of some ``block`` texts are packed side by side, each
-    in one task that sees ids and lengths only; container_id holds the block and the number within. ``capacities`` (a
+    block and capacity in one task that sees ids and lengths only; container_id holds the block and the number within. ``capacities`` (a
     short list) is read to the driver; rows without a positive capacity are left out.
     """
     sizes = [(name, int(n)) for name, n in capacities.select("container_name", "capacity_tokens").distinct().orderBy("container_name").toLocalIterator() if n and n > 0]
@@ -144,21 +172,25 @@ def pack(documents: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER
         from pyspark import TaskContext
 
         parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
+        if not parts or not sizes:
             return
         null = np.concatenate([np.isnan(p[0].astype(float)) for p in parts])
         ids = np.concatenate([np.nan_to_num(p[0].astype(float)).astype(np.int64) if null.any() else p[0] for p in parts])
         tokens = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        first = TaskContext.get().partitionId() << 40
-        for name, capacity in sizes:
-            row, part, size, container = fill(tokens, capacity)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name]).take(pa.array(np.zeros(len(row), np.int32))), pa.array(first + container), pa.array(ids[row], mask=null[row]), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32))],
-                names=["container_name", "container_id", "doc_id", "part", "tokens"],
-            )
-
-    counted = token_counts(documents, tokenizer).where("tokens > 0").repartition(blocks)
-    return counted.mapInArrow(run, "container_name string, container_id long, doc_id long, part int, tokens int")
+        task = TaskContext.get().partitionId()
+        name, capacity = sizes[task % len(sizes)]
+        row, part, size, container = fill(tokens, capacity)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]).take(pa.array(np.zeros(len(row), np.int32))), pa.array(((task // len(sizes)) << 40) + container), pa.array(ids[row], mask=null[row]), pa.array(part.astype(np.int32)), pa.array(size.astype(np.int32))],
+            names=["container_name", "container_id", "doc_id", "part", "tokens"],
+        )
+
+    # one task per block and capacity; only ids and lengths are repeated for each capacity
+    many = max(len(sizes), 1)
+    task = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(blocks)) * many + F.col("of")
+    counted = token_counts(documents, tokenizer).where("tokens > 0").select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("of"))
+    placed = counted.withColumn("task", task.cast("int")).repartitionById(blocks * many, F.col("task")).sortWithinPartitions("doc_id", "tokens")
+    return placed.select("doc_id", "tokens").mapInArrow(run, "container_name string, container_id long, doc_id long, part int, tokens int")
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
