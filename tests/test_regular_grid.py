@@ -59,3 +59,24 @@ def test_short_series_are_interpolated(n):
         present[0, 1] = False
     out = g.impute(np.arange(n, dtype=float)[None] * present, present, np.array([n]))
     assert np.allclose(out[0], np.arange(n))
+
+
+def test_week_season_of_days_and_short_series():
+    """A weekly season of days is embedded by the window of its resolution; series of three periods and more are imputed, infinite ones too."""
+    t = np.arange(150)
+    y = 40 + 10 * np.sin(2 * np.pi * t / 7)
+    present = np.ones((1, 150), bool)
+    present[0, [30, 31, 32, 88, 120]] = False
+    out = g.impute(y[None] * present, present, np.array([150]), longest=np.array([g.WINDOWS["day"]]))
+    assert np.abs(out[0] - y).max() < 1.0
+    short = g.impute(np.array([[4.0, 0.0, 4.0, 4.0]]), np.array([[True, False, True, True]]), np.array([4]))
+    assert np.isfinite(short).all() and abs(short[0, 1] - 4.0) < 1e-6
+
+
+def test_infinite_readings(spark):
+    d = dt.date
+    df = rows(spark, [("a", "x", "month", d(2024, m, 3), v, 1) for m, v in ((1, 5.0), (2, float("inf")), (3, 5.0), (5, 5.0))])
+    got = {r.period_start.month: (r.value, r.is_filled) for r in g.regular_grid(df).collect()}
+    assert got[2] == (float("inf"), False) and got[4] == (5.0, True)
+    alone = rows(spark, [("a", "x", "month", d(2024, m, 3), float("inf"), 1) for m in (1, 3)])
+    assert [(r.is_filled, np.isfinite(r.value)) for r in g.regular_grid(alone).orderBy("period_start").collect()] == [(False, False), (True, True), (False, False)]

@@ -14,10 +14,12 @@ from tidewell.operators.series import GRAINS, Batch, linear, pack
 
 #: Rounds before slow series are extrapolated.
 PLAIN = 400
+#: Longest window by resolution: a season and more of months and quarters, two weeks of days, a quarter of weeks (a year's wave is smooth there).
+WINDOWS = {"day": 14, "week": 13, "month": 12, "quarter": 8, "year": 12}
 SCHEMA = "source_id string, source_subunit string, resolution string, period_start date, value double, is_filled boolean"
 
 
-def impute(values: np.ndarray, present: np.ndarray, length: np.ndarray, rank: int = 3, tolerance: float = 1e-3) -> np.ndarray:
+def impute(values: np.ndarray, present: np.ndarray, length: np.ndarray, rank: int = 3, tolerance: float = 1e-3, longest: np.ndarray | int = 12) -> np.ndarray:
     """Fill the absent entries of a stack of series by iterative singular-spectrum imputation.
 
     ``values`` and ``present`` are (series, periods) padded on the right, ``length`` the true
@@ -27,16 +29,18 @@ def impute(values: np.ndarray, present: np.ndarray, length: np.ndarray, rank: in
     deviations. There is no bound on the rounds: each is a step of alternating least squares, so the
     squared moves add up to no more than the first misfit and fall below any tolerance; only the
     series still moving go on. After ``PLAIN`` rounds one in three is extrapolated where that leaves no
-    larger misfit, so that slow series end sooner, by the same test on a plain round. Series of fewer than six periods stay interpolated.
+    larger misfit, so that slow series end sooner, by the same test on a plain round. The window is a quarter of the length, at least 2 and at most ``longest``.
     """
     out = values.copy()
     for i in range(len(out)):
         n, have = length[i], np.flatnonzero(present[i, : length[i]])
-        if len(have) < n:
+        if 0 < len(have) < n:
             out[i, :n] = np.interp(np.arange(n), have, out[i, have])
-    need = np.flatnonzero((length >= 6) & (present.sum(axis=1) < length))
-    need = need[np.argsort(length[need], kind="stable")]
-    window = np.clip(length[need] // 4, 2, 12)
+    seen = present.sum(axis=1)
+    need = np.flatnonzero((length >= 3) & (seen < length) & (seen > 0))
+    window = np.clip(length[need] // 4, 2, np.broadcast_to(longest, len(length))[need])
+    order = np.lexsort((length[need], window))
+    need, window = need[order], window[order]
     start = 0
     while start < len(need):
         w = int(window[start])
@@ -126,8 +130,9 @@ def _kernel(only_filled: bool):
                     values, present = np.zeros((len(chunk), size)), np.zeros((len(chunk), size), bool)
                     at = lines[owner[mine]], period[mine] - begin[chunk][lines[owner[mine]]]
                     values[at], present[at] = value[mine], True
-                    finite = np.where(np.isfinite(values), values, 0.0)
-                    full = np.where(present, values, impute(finite, present, length[chunk]))
+                    usable = present & np.isfinite(values)
+                    longest = np.array([WINDOWS[g] for g in GRAINS])[b.grain[series[chunk]]]
+                    full = np.where(present, values, impute(np.where(usable, values, 0.0), usable, length[chunk], longest=longest))
                     show = np.arange(size) < length[chunk][:, None]
                     if only_filled:
                         show &= ~present
@@ -169,7 +174,7 @@ def regular_grid(df: DataFrame, only_filled: bool = False) -> DataFrame:
     states one, the usual step between dates). Of several readings in a period the latest
     published counts, then the later date, then the larger value. A period without a reading
     other than null or NaN is marked ``is_filled`` and its value imputed (see ``impute``);
-    infinite readings stay but count as 0 in the imputation. Series without a usable reading and
+    infinite readings stay but are as absent in the imputation. Series without a usable reading and
     rows without a date give no rows; null keys are a series of their own; extra columns are
     ignored. ``only_filled`` returns the marked rows alone.
     """
