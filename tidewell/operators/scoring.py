@@ -125,11 +125,50 @@ def online(folds: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
     return at.select(*keys, "horizon", "origin", "target", "actual", F.coalesce("best.model", F.lit("seasonal_naive")).alias("selected"), F.coalesce("best.predicted", "fallback").alias("selector"), F.coalesce("weighted", "fallback").alias("weighted"))
 
 
-def quantile_forecasts(folds: DataFrame, keys: list[str]) -> DataFrame:
-    """Predictive quantiles at LEVELS: the model's residuals of the other folds of its series and horizon around the prediction, floored at 0."""
-    rest = folds.withColumn("r", F.col("actual") - F.col("predicted")).groupBy(*keys, "horizon", "model").agg(F.percentile("r", [*LEVELS]).alias("q"), F.count(F.lit(1)).alias("known"))
-    joined = folds.join(rest.where("known >= 5"), [*keys, "horizon", "model"])
-    return joined.select(*folds.columns, F.array_sort(F.transform("q", lambda x: F.greatest(x + F.col("predicted"), F.lit(0.0)))).alias("quantiles"))
+#: Multiples of the fallback deviation at LEVELS: quantiles of the normal distribution.
+NORMAL = (-1.2815515655, -0.6744897502, 0.0, 0.6744897502, 1.2815515655)
+
+
+def fallback_sigma(spine: DataFrame, keys: list[str], grain: str = "month") -> DataFrame:
+    """(keys, origin, sigma): the deviation of the seasonal differences before each origin (of neighbours up to one season), at least the root of the mean and one, and 1."""
+    season = GRAIN_SETTINGS[grain][0]
+    base = numbered(spine, keys)
+    order = Window.partitionBy(*keys).orderBy("t")
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("forward_filled")
+    steps = base.select(*keys, "t", v.alias("v"), (v - F.lag(v, season).over(order)).alias("s"), (v - F.lag(v, 1).over(order)).alias("l"))
+    # a training set longer than a season has a seasonal difference
+    spread = F.when((F.col("t") + 1 > season) & F.lit(season > 1), F.when(F.count("s").over(past) > 1, F.stddev_pop("s").over(past))).otherwise(F.when(F.count("l").over(past) > 1, F.stddev_pop("l").over(past)))
+    least = F.sqrt(F.greatest(F.avg("v").over(past), F.lit(0.0)) + 1)
+    return steps.select(*keys, (F.col("t") + 1).alias("origin"), F.greatest(F.coalesce(spread, F.lit(0.0)), least, F.lit(1.0)).alias("sigma"))
+
+
+def quantile_forecasts(folds: DataFrame, keys: list[str], sigma: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """Predictive quantiles at LEVELS around the prediction, floored at 0: those of the model's known residuals of its series and horizon.
+
+    Known at an origin are the residuals of folds whose target lies before it; with ``strict`` off, those of all folds of
+    earlier origins. With fewer than five the quantiles are normal ones of the deviation in ``sigma`` (see ``fallback_sigma``); without it, such folds are left out.
+    """
+    by = Window.partitionBy(*keys, "horizon", "model")
+    levels = [*LEVELS]
+    told = folds.withColumn("r", F.col("actual") - F.col("predicted"))
+    if strict:
+        none = [F.lit(None).cast(folds.schema[c].dataType).alias(c) for c in folds.columns if c not in (*keys, "horizon", "model")]
+        rest = [c for c in folds.columns if c not in (*keys, "horizon", "model")]
+        events = told.select(*keys, "horizon", "model", F.col("target").alias("when"), "r", *none).unionByName(
+            told.select(*keys, "horizon", "model", (F.col("origin") - 1).alias("when"), F.lit(None).cast("double").alias("r"), *rest)
+        )
+        known = by.orderBy("when").rangeBetween(Window.unboundedPreceding, 0)
+        marked = events.withColumn("q", F.percentile("r", levels).over(known)).withColumn("known", F.count("r").over(known)).where("origin is not null")
+    else:
+        known = by.orderBy("origin").rowsBetween(Window.unboundedPreceding, -1)
+        marked = told.withColumn("q", F.percentile("r", levels).over(known)).withColumn("known", F.count("r").over(known))
+    if sigma is None:
+        marked = marked.where("known >= 5").withColumn("sigma", F.lit(None).cast("double"))
+    else:
+        marked = marked.join(sigma, [*keys, "origin"], "left")
+    around = F.when(F.col("known") >= 5, F.col("q")).otherwise(F.array(*[F.lit(x) * F.col("sigma") for x in NORMAL]))
+    return marked.select(*folds.columns, F.array_sort(F.transform(around, lambda x: F.greatest(x + F.col("predicted"), F.lit(0.0)))).alias("quantiles"))
 
 
 def pinball(actual: Column, quantile: Column, level: float) -> Column:

@@ -67,7 +67,7 @@ def queries() -> dict:
         "aggregate_quantiles": lambda s, d: _round(m.summarise(_metrics(s, d), ["horizon", "model"], "mase")),
         "median_ensemble": lambda s, d: _round(m.ensembles(_folds(s, d), KEYS)),
         "online_selector": lambda s, d: _round(m.online(_folds(s, d), KEYS), 6),
-        "wis_crps": lambda s, d: _round(m.distribution_scores(m.quantile_forecasts(_folds(s, d), KEYS), KEYS)),
+        "wis_crps": lambda s, d: _round(m.distribution_scores(m.quantile_forecasts(_folds(s, d), KEYS, m.fallback_sigma(_spine(s, d), KEYS)), KEYS)),
         "seasonal_threshold": lambda s, d: _round(m.outbreak_threshold(_spine(s, d), KEYS)),
         "binary_metrics": lambda s, d: _round(m.binary_scores(_alarms(s, d), ["nation"], "y", "score")),
         "risk_metrics": lambda s, d: _round(m.class_scores(_classes(s, d), ["nation"], "actual_class", "predicted_class")),
@@ -129,8 +129,14 @@ bs as (select *, row_number() over (partition by nation, segment, horizon, origi
 wt as (select nation, segment, horizon, origin, sum(predicted / greatest(past, 0.05)) / sum(1 / greatest(past, 0.05)) wv from ps where known >= 2 group by all)
 select bs.nation, bs.segment, bs.horizon, bs.origin, bs.target, bs.actual, case when known >= 2 then model else 'seasonal_naive' end as selected, round(case when known >= 2 then predicted else fall end, 6) as selector, round(coalesce(wv, fall), 6) as weighted
 from bs join fb using (nation, segment, horizon, origin) left join wt using (nation, segment, horizon, origin) where k = 1""",
-        "wis_crps": f"""with {_F}, rs as (select nation, segment, horizon, model, count(*) c, [quantile_cont(actual - predicted, 0.1), quantile_cont(actual - predicted, 0.25), quantile_cont(actual - predicted, 0.5), quantile_cont(actual - predicted, 0.75), quantile_cont(actual - predicted, 0.9)] r from folds group by all),
-fq as (select f.*, greatest(r[1] + predicted, 0.0) q1, greatest(r[2] + predicted, 0.0) q2, greatest(r[3] + predicted, 0.0) q3, greatest(r[4] + predicted, 0.0) q4, greatest(r[5] + predicted, 0.0) q5 from folds f join rs using (nation, segment, horizon, model) where c >= 5),
+        "wis_crps": f"""with {_F}, dl as (select nation, segment, t, v, v - lag(v, 12) over (partition by nation, segment order by t) s, v - lag(v, 1) over (partition by nation, segment order by t) l from q),
+og as (select distinct nation, segment, origin from folds),
+sg as (select og.nation, og.segment, og.origin, greatest(coalesce(case when og.origin > 12 then case when count(s) > 1 then stddev_pop(s) end else case when count(l) > 1 then stddev_pop(l) end end, 0.0), sqrt(greatest(avg(v), 0.0) + 1), 1.0) sigma
+ from og join dl on dl.nation = og.nation and dl.segment = og.segment and dl.t < og.origin group by og.nation, og.segment, og.origin),
+rs as (select c.nation, c.segment, c.horizon, c.model, c.origin, count(h.origin) c, [quantile_cont(h.actual - h.predicted, 0.1), quantile_cont(h.actual - h.predicted, 0.25), quantile_cont(h.actual - h.predicted, 0.5), quantile_cont(h.actual - h.predicted, 0.75), quantile_cont(h.actual - h.predicted, 0.9)] e
+ from folds c left join folds h on h.nation = c.nation and h.segment = c.segment and h.horizon = c.horizon and h.model = c.model and h.target < c.origin group by all),
+rz as (select rs.* exclude (e), case when c >= 5 then e else [-1.2815515655 * sigma, -0.6744897502 * sigma, 0.0, 0.6744897502 * sigma, 1.2815515655 * sigma] end r from rs join sg using (nation, segment, origin)),
+fq as (select f.*, greatest(r[1] + predicted, 0.0) q1, greatest(r[2] + predicted, 0.0) q2, greatest(r[3] + predicted, 0.0) q3, greatest(r[4] + predicted, 0.0) q4, greatest(r[5] + predicted, 0.0) q5 from folds f join rz using (nation, segment, horizon, model, origin)),
 w2 as (select *, (0.5::double * abs(actual - q3) + 0.1::double * ((q5 - q1) + case when actual < q1 then (q1 - actual) * 10 else 0.0 end + case when actual > q5 then (actual - q5) * 10 else 0.0 end) + 0.25::double * ((q4 - q2) + case when actual < q2 then (q2 - actual) * 4 else 0.0 end + case when actual > q4 then (actual - q4) * 4 else 0.0 end)) / 0.85::double wi,
  2 * (case when actual >= q1 then (actual - q1) * 0.1 else (q1 - actual) * 0.9 end + case when actual >= q2 then (actual - q2) * 0.25 else (q2 - actual) * 0.75 end + case when actual >= q3 then (actual - q3) * 0.5 else (q3 - actual) * 0.5 end
  + case when actual >= q4 then (actual - q4) * 0.75 else (q4 - actual) * 0.25 end + case when actual >= q5 then (actual - q5) * 0.9 else (q5 - actual) * 0.1 end) / 5 cr from fq)
