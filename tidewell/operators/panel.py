@@ -84,6 +84,30 @@ def expected_periods(first: Column, last: Column, grain: str) -> Column:
     return {"month": months + 1, "quarter": F.floor(months / 3).cast("int") + 1, "year": F.year(last) - F.year(first) + 1}[grain]
 
 
+def by_years(panel: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per series with its sums in one column per year; the years are those of the data."""
+    dated = panel.withColumn("_year", F.year("period_start"))
+    years = [r[0] for r in dated.where("_year is not null").select("_year").distinct().orderBy("_year").toLocalIterator()]  # a few dozen numbers
+    return dated.groupBy(*keys).pivot("_year", years).agg(F.sum(value))
+
+
+def melt_years(wide: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, year, value) of every column named like a year, without nulls; other columns are left out."""
+    years = [c for c in wide.columns if c not in keys and c.isdigit() and len(c) == 4]
+    if not years:
+        return wide.select(*keys, F.lit(None).cast("string").alias("year"), F.lit(None).cast("double").alias(value)).where("false")
+    return wide.select(*keys, *years).unpivot(keys, years, "year", value).where(F.col(value).isNotNull())
+
+
+def coverage_cells(df: DataFrame, across: str, word: str) -> DataFrame:
+    """(across, word, rows): how many rows each pair holds, 0 for pairs that don't occur; null words count as ''. Words are counted before they are paired."""
+    counted = df.groupBy(across, F.coalesce(F.col(word), F.lit("")).alias("word")).agg(F.count(F.lit(1)).alias("rows"))
+    words = counted.agg(F.collect_set("word").alias("words"))  # the distinct words of one column
+    cells = counted.groupBy(across).agg(F.map_from_entries(F.collect_list(F.struct("word", "rows"))).alias("have"))
+    listed = cells.join(F.broadcast(words)).select(across, "have", F.explode("words").alias("word"))
+    return listed.select(across, "word", F.coalesce(F.element_at("have", F.col("word")), F.lit(0)).alias("rows"))
+
+
 def coverage(panel: DataFrame, keys: list[str], grain: str) -> DataFrame:
     """Observed against expected periods of each series."""
     out = panel.groupBy(*keys).agg(F.count_distinct("period_start").alias("observed"), F.min("period_start").alias("first_period"), F.max("period_start").alias("last_period"))
@@ -100,10 +124,14 @@ def quality_counters(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         "value_fractional": ~F.isnan(v) & (v != F.floor(v)),
         "value_zero": v == 0,
         "date_missing": F.col("period_start").isNull(),
-        "key_repeated": F.col("_times") > 1,
+        "key_repeated": None,
     }
-    marked = df.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    counted = marked.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in checks.items()])
+    # counted by key first, and these few counts then summed: a hot or null key is reduced map-side, and no row meets a window
+    own = {n: c for n, c in checks.items() if n != "key_repeated"}
+    each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in own.items()])
+    counted = each.agg(
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in own], F.coalesce(F.sum(F.when(F.col("_times") > 1, F.col("_times")).otherwise(0)), F.lit(0)).alias("key_repeated")
+    )
     rows = counted.select("rows", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in checks]), F.array(*[F.col(n) for n in checks]))).alias("check_name", "failing"))
     return rows.select("check_name", "failing", "rows", F.try_divide("failing", "rows").alias("rate"))
 

@@ -62,8 +62,8 @@ def queries() -> dict:
         ),
         "resolution_resolve": lambda s, d: table(s, d, "silver_observation").select("silver_observation_id", p.resolve_resolution(F.col("temporal_resolution"), F.col("period_start"), F.col("period_end")).alias("resolution")),
         "valid_cases": lambda s, d: p.valid_cases(table(s, d, "modeling_series"), "period_start", "value").groupBy("metric").agg(F.count(F.lit(1)).alias("rows")),
-        "wide_year_melt": lambda s, d: by_nation(s, d).withColumn("y", F.year("period_start")).groupBy("nation").pivot("y", list(range(1995, 2002))).agg(F.sum("cases")).unpivot("nation", [str(y) for y in range(1995, 2002)], "year", "cases").where("cases is not null"),
-        "coverage_matrix": lambda s, d: table(s, d, "modeling_series").groupBy("metric").pivot("temporal_resolution_normalized", ["day", "week", "month", "quarter"]).agg(F.count(F.lit(1))).select("metric", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("day", "week", "month", "quarter")]),
+        "wide_year_melt": lambda s, d: p.melt_years(p.by_years(by_nation(s, d), ["nation"], "cases"), ["nation"], "cases"),
+        "coverage_matrix": lambda s, d: p.coverage_cells(table(s, d, "modeling_series"), "metric", "temporal_resolution_normalized"),
         "top_series": lambda s, d: table(s, d, "modeling_series").groupBy("source_id", "source_subunit").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "source_id", "source_subunit").limit(25),
     }
 
@@ -124,6 +124,7 @@ coalesce(nullif(array_to_string(list_reduce(list_prepend([], list_transform(list
         "resolution_resolve": "select silver_observation_id, coalesce(" + _WORD.format("lower(trim(temporal_resolution))") + ", case when period_end - period_start + 1 is null then null when period_end - period_start + 1 <= 1 then 'day' when period_end - period_start + 1 <= 8 then 'week' when period_end - period_start + 1 <= 32 then 'month' when period_end - period_start + 1 <= 92 then 'quarter' else 'year' end) as resolution from silver_observation",
         "valid_cases": 'select metric, count(*) as "rows" from modeling_series where period_start is not null and isfinite(value) and value >= 0 group by 1',
         "wide_year_melt": f"with {_CASES} select nation, cast(year(period_start) as varchar) as year, sum(cases) as cases from n group by all",
-        "coverage_matrix": "select metric, " + ", ".join(f"count(*) filter (temporal_resolution_normalized = '{g}') as \"{g}\"" for g in ("day", "week", "month", "quarter")) + " from modeling_series group by 1",
+        "coverage_matrix": """with q as (select metric, coalesce(temporal_resolution_normalized, '') as word, count(*) as "rows" from modeling_series group by 1, 2), m as (select distinct metric from q), w as (select distinct word from q)
+select m.metric, w.word, coalesce(q."rows", 0) as "rows" from m, w left join q on q.metric is not distinct from m.metric and q.word = w.word""",
         "top_series": 'select source_id, source_subunit, count(*) as "rows" from modeling_series group by 1, 2 order by 3 desc, 1, 2 limit 25',
     }
