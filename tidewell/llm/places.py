@@ -137,11 +137,11 @@ def map_places(df: DataFrame, reference: DataFrame, key: str = "silver_observati
 
     place_id is 0 where the reference list has no such place. Where a name fits several places, one
     whose parents or children agree with what the other fields of the row can mean is taken (the
-    place above counts most), then the smallest id. Null keys and repeated keys: each row is
-    resolved by itself only if keys are unique; rows that share a key share their context.
+    place above counts most), then the smallest id. Rows are told apart by key and values, so rows that share a
+    key, null keys included, are each resolved by themselves and none is dropped.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(level).alias("level"), F.col(f).alias("value")) for f, level in FIELDS.items()])
-    long = df.select(F.col(key).alias("key"), F.explode(fields).alias("f")).select("key", "f.*").where(clean("value") != "")
+    long = df.select(F.col(key).alias("key"), F.xxhash64(F.col(key), *FIELDS).alias("row"), F.explode(fields).alias("f")).select("key", "row", "f.*").where(clean("value") != "")
     found = match_values(long.select("level", "value"), reference)
     unmatched = long.join(found, ["level", "value"], "left_anti").select("key", "field_name", "value", F.lit(0).cast("long").alias("place_id"))
     # the list of places with the places above them: as long as the reference list
@@ -149,12 +149,13 @@ def map_places(df: DataFrame, reference: DataFrame, key: str = "silver_observati
     above = reference.select("place_id", "parent_id").join(up, F.col("parent_id") == F.col("id"), "left").select("place_id", F.coalesce("parent_id", F.lit(-1)).alias("up_1"), F.coalesce("parent", F.lit(-1)).alias("up_2"))
     options = found.select("level", "value", F.explode("places").alias("place_id")).join(above, "place_id").groupBy("level", "value").agg(F.array_sort(F.collect_list(F.struct("place_id", "up_1", "up_2"))).alias("options"))
     met = long.join(options, ["level", "value"])
-    rows = met.groupBy("key").agg(F.collect_set(F.struct("field_name", "value", "options")).alias("all"))
-    pick = F.expr("""explode(transform(all, a -> named_struct('field_name', a.field_name, 'value', a.value, 'place_id', case when size(a.options) = 1 then a.options[0].place_id else
+    # equal rows are one group with a number, reduced map-side
+    rows = met.groupBy("key", "row").agg(F.collect_set(F.struct("field_name", "value", "options")).alias("all"), F.count(F.lit(1)).alias("n"))
+    pick = F.expr("""explode(flatten(array_repeat(transform(all, a -> named_struct('field_name', a.field_name, 'value', a.value, 'place_id', case when size(a.options) = 1 then a.options[0].place_id else
       array_min(transform(a.options, o -> named_struct('worse', -(
         4 * int(exists(all, b -> exists(b.options, p -> p.place_id = o.up_1)))
         + 2 * int(exists(all, b -> exists(b.options, p -> p.place_id = o.up_2)))
-        + int(exists(all, b -> exists(b.options, p -> p.up_1 = o.place_id or p.up_2 = o.place_id)))), 'place_id', o.place_id))).place_id end)))""")
+        + int(exists(all, b -> exists(b.options, p -> p.up_1 = o.place_id or p.up_2 = o.place_id)))), 'place_id', o.place_id))).place_id end)), cast(n / size(all) as int))))""")
     matched = rows.select("key", pick.alias("c")).select("key", "c.field_name", "c.value", "c.place_id")
     return matched.unionByName(unmatched).withColumnRenamed("key", key)
 
