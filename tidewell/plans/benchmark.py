@@ -73,7 +73,7 @@ def queries() -> dict:
         "risk_metrics": lambda s, d: _round(m.class_scores(_classes(s, d), ["nation"], "actual_class", "predicted_class")),
         "fdr_bh": lambda s, d: _round(m.false_discovery(_tests(s, d), ["segment"], "p_value")),
         "ears_alarms": lambda s, d: _round(m.ears(panels.by_nation(s, d), ["nation"], "cases"), 6),
-        "cusum_alarms": lambda s, d: m.cusum(panels.by_nation(s, d), ["nation"], "cases"),
+        "cusum_alarms": lambda s, d: _round(m.cusum(panels.by_nation(s, d), ["nation"], "cases"), 6),
         "moran_geary": lambda s, d: _round(sp.global_autocorrelation(_yearly(s, d), ["year"], "nation", "cases", sp.weights(_edges(s, d)))),
         "local_moran": lambda s, d: _round(sp.local_moran(_yearly(s, d), ["year"], "nation", "cases", sp.weights(_edges(s, d)))),
         "getis_ord_z": lambda s, d: _round(sp.hot_spots(_yearly(s, d), ["year"], "nation", "cases", _edges(s, d))),
@@ -154,6 +154,9 @@ select segment, nation, year, p_value, round(least(greatest(min(p_value * n / k)
         "ears_alarms": f"""with {panels._CASES}, a as (select nation, period_start, cases, case when count(*) over c1 = 7 then (cases - avg(cases) over c1) / greatest(stddev_pop(cases) over c1, 0.5) end c1, case when count(*) over c2 = 7 then (cases - avg(cases) over c2) / greatest(stddev_pop(cases) over c2, 0.5) end c2 from n
  window c1 as (partition by nation order by period_start rows between 7 preceding and 1 preceding), c2 as (partition by nation order by period_start rows between 9 preceding and 3 preceding))
 select nation, period_start, cases, round(c1, 6) as c1, round(c2, 6) as c2, round(case when c2 is not null then avg(greatest(case when c2 is not null then c2 end, 0.0)) over (partition by nation order by period_start rows between 2 preceding and current row) end, 6) as c3 from a""",
+        "cusum_alarms": f"""with {panels._CASES}, r as (select *, row_number() over (partition by nation order by period_start desc) k from n),
+b as (select nation, avg(cases) m, greatest(stddev_pop(cases), 0.5) s from r where k > 12 group by 1 having count(*) > 1), t as (select r.nation, sum((cases - m) / s - 0.5) over (partition by r.nation order by k) x from r join b using (nation) where k <= 12)
+select nation, round(greatest(max(x), 0.0), 6) as cusum from t group by 1""",  # the last value of the running sum is the largest sum of a tail, or 0
         "moran_geary": f"with {_E} select year, max(n) as places, round(max(n) / sum(ws) * sum(z * lag) / max(ss), 9) as moran_i, round(-1.0::double / nullif(max(n) - 1, 0), 9) as expected_i, round((max(n) - 1) * sum(df) / (2 * sum(ws) * max(ss)), 9) as geary_c from lg group by 1",
         "local_moran": f"with {_E} select year, nation, round(z * lag * (n - 1) / ss, 9) as local_i, case when z > 0 then 'high' else 'low' end || '-' || case when lag > 0 then 'high' else 'low' end as quadrant from lg",
         "getis_ord_z": f"with {_E}, {_gi('year', 'y')} select year, nation, round(gi_star, 9) as gi_star from gi",

@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: grid.missing_periods(table(s, d, "modeling_series")),
         "p1_regular_grid": lambda s, d: grid.regular_grid(table(s, d, "modeling_series")),
+        "p1_grid_cells": lambda s, d: grid.regular_grid(table(s, d, "modeling_series")).select("source_id", "source_subunit", F.date_format("period_start", "yyyy-MM-dd").alias("period_start"), F.when(~F.col("is_filled"), F.col("value")).alias("value"), "is_filled"),
         "p2_found": lambda s, d: units.recorded_otherwise(table(s, d, "silver_observation"), table(s, d, "unit_reference")),
         "p2_units": lambda s, d: units.harmonise(table(s, d, "silver_observation"), table(s, d, "unit_reference")),
         "p3_found": lambda s, d: intervals.gaps(table(s, d, "silver_observation")),
@@ -91,16 +92,9 @@ f as (select s.silver_observation_id, s.quantity, v, vn, c.common_unit, coalesce
   from s left join (select distinct quantity, common_unit from unit_reference) c on c.quantity = s.quantity)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p2_found": _unit_sql() + " select silver_observation_id, unit_code from f where vn is not null and unit_code <> common_unit",
-        "p2_units": _unit_sql() + """ select f.silver_observation_id, f.quantity, f.unit_code, f.unit_origin, f.common_unit, v * r.factor + r.shift as value_common
-from f left join unit_reference r on r.quantity = f.quantity and r.unit_code = f.unit_code""",
-        "p3_found": _spans() + " select dataset_id, strftime(z + 1, '%Y-%m-%d') as gap_start, strftime(follows - 1, '%Y-%m-%d') as gap_end from n where follows is not null",
-        "p3_periods": _spans() + """ select dataset_id, 'covered' as kind, a as first_day, z as last_day from c
-union all select dataset_id, 'gap', z + 1, follows - 1 from n where follows is not null""",
-        "p1_found": f"""
-with r as (select source_id, source_subunit, period_start, value, {_GRAIN.format("temporal_resolution_normalized")} g from modeling_series),
+def _grid_sql() -> str:
+    """Periods with (u) and without (e) usable readings, by the resolution most rows of a series state."""
+    return f"""with r as (select source_id, source_subunit, period_start, value, published_at, {_GRAIN.format("temporal_resolution_normalized")} g from modeling_series),
 n as (select source_id, source_subunit, g, count(*) c from r where g is not null group by all),
 v as (select source_id, source_subunit, g, row_number() over (partition by source_id, source_subunit
         order by c desc, case g when 'day' then 1 when 'week' then 2 when 'month' then 3 when 'quarter' then 4 else 5 end) k from n),
@@ -110,6 +104,21 @@ u as (select distinct r.source_id, r.source_subunit, v.g, cast(date_trunc(v.g, r
 b as (select source_id, source_subunit, g, min(p) a, max(p) z from u group by all),
 e as (select source_id, source_subunit, cast(unnest(generate_series(cast(a as timestamp), cast(z as timestamp),
         case g when 'day' then interval 1 day when 'week' then interval 7 day when 'month' then interval 1 month when 'quarter' then interval 3 month else interval 1 year end)) as date) p from b)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_grid_cells": _grid_sql() + """, w as (select r.source_id, r.source_subunit, cast(date_trunc(v.g, r.period_start) as date) p, first(r.value order by r.published_at desc nulls last, r.period_start desc, r.value desc) as value
+ from r join v on v.k = 1 and v.source_id is not distinct from r.source_id and v.source_subunit is not distinct from r.source_subunit where cast(r.value as varchar) <> 'nan' and r.period_start is not null group by 1, 2, 3)
+select e.source_id, e.source_subunit, strftime(e.p, '%Y-%m-%d') as period_start, w.value, w.p is null as is_filled from e left join w on w.source_id is not distinct from e.source_id and w.source_subunit is not distinct from e.source_subunit and w.p = e.p""",
+        "p2_found": _unit_sql() + " select silver_observation_id, unit_code from f where vn is not null and unit_code <> common_unit",
+        "p2_units": _unit_sql() + """ select f.silver_observation_id, f.quantity, f.unit_code, f.unit_origin, f.common_unit, v * r.factor + r.shift as value_common
+from f left join unit_reference r on r.quantity = f.quantity and r.unit_code = f.unit_code""",
+        "p3_found": _spans() + " select dataset_id, strftime(z + 1, '%Y-%m-%d') as gap_start, strftime(follows - 1, '%Y-%m-%d') as gap_end from n where follows is not null",
+        "p3_periods": _spans() + """ select dataset_id, 'covered' as kind, a as first_day, z as last_day from c
+union all select dataset_id, 'gap', z + 1, follows - 1 from n where follows is not null""",
+        "p1_found": _grid_sql() + """
 select e.source_id, e.source_subunit, strftime(e.p, '%Y-%m-%d') as period_start from e
 where not exists (select 1 from u where u.source_id is not distinct from e.source_id and u.source_subunit is not distinct from e.source_subunit and u.p = e.p)""",
     }

@@ -54,6 +54,13 @@ def oracle_sql() -> dict[str, str]:
         "markdown_cells": r"""with l as (select cast(doc_id as varchar) table_key, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents),
 p as (select table_key, n, string_split(trim(line, '|'), '|') v from l where regexp_matches(line, '^\|.*\|$') and not regexp_matches(line, '^[|\s:-]+$')),
 c as (select table_key, cast(n as integer) as row_number, cast(generate_subscripts(v, 1) as integer) as column_number, trim(unnest(v), ' ') as value from p) select * from c where value <> ''""",
+        "numbers_as_written": r"""with c as (select silver_observation_id, value_text t, trim(regexp_replace(value_text, '[\s\x{a0}]+', ' ', 'g')) c, lower(regexp_replace(value_text, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) l, regexp_replace(value_text, '[^0-9]', '', 'g') d from silver_observation where value_text is not null),
+n as (select *, case when regexp_matches(c, '^[^,.]*,[^,.]*$') then replace(c, ',', '.') else replace(c, ',', '') end w from c)
+select silver_observation_id, case when regexp_matches(w, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') then cast(w as double) end as loader,
+ case when l = 'nihil' then 0 when regexp_matches(l, '^[0-9.,]+$') and regexp_matches(l, '[0-9]') then cast(regexp_replace(l, '[.,]', '', 'g') as bigint) end as portal,
+ case when length(d) between 1 and 18 then cast(d as bigint) end as digits, try_cast(nullif(regexp_extract(t, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1), '') as integer) as year from n""",
+        "stable_ids": """select 'series_' || substr(sha256(cast(to_json({'source_id': source_id, 'source_subunit': source_subunit, 'metric': metric, 'unit': unit}) as varchar)), 1, 24) as series_id, count(*) as "rows" from modeling_series group by 1""",
+        "json_paths": """select silver_observation_id, replace(substr(t.fullkey, 3), '"', '') as path, case when t.type = 'NULL' then null else t.value ->> '$' end as value from silver_observation, json_tree(provenance) t where t.type not in ('OBJECT', 'ARRAY')""",
         "panel_checks": """with w as (select province, year, max(value) filter (metric = 'cases') c, max(value) filter (metric = 'deaths') d, max(value) filter (metric = 'population') p, max(value) filter (metric = 'incidence_rate') i, max(value) filter (metric = 'case_fatality_rate') f from research_panel_observation group by 1, 2),
 s as (select province, year, case when c > 0 then c end c, d, case when p > 0 then p end p, i, f from w), k as (select province, year, coalesce(abs(c / p * 1e5 - i) > 1, false) as incidence_off, coalesce(abs(d / c * 100 - f) > 0.1, false) as fatality_off, coalesce(d > c, false) as more_deaths_than_cases from s)
 select province, year, incidence_off or fatality_off or more_deaths_than_cases as quarantined, incidence_off, fatality_off, more_deaths_than_cases from k""",
