@@ -229,6 +229,30 @@ def class_scores(df: DataFrame, group: list[str], actual: str, predicted: str, c
     return out.select(*group, "accuracy", f1.alias("macro_f1"), "distance")
 
 
+def probability_scores(df: DataFrame, group: list[str], actual: str, shares: list[str]) -> DataFrame:
+    """Scores of the probabilities ``shares`` of ordered classes 0, 1, ... against the class ``actual``.
+
+    (accuracy, macro_f1, balanced_accuracy, ordinal_mae, ranked_probability_score, multiclass_log_loss): the class of the largest probability (the lowest of several)
+    is the predicted one; a class without predictions or cases has F1 and recall 0; probabilities count as 1e-9 at least in the log loss. Rows without a class or a probability are left out.
+    """
+    k = range(len(shares))
+    known = df.where(F.col(actual).isNotNull())
+    for c in shares:
+        known = known.where(F.col(c).isNotNull())
+    a, p = F.col(actual), F.array_position(F.array(*shares), F.greatest(*shares)).cast("int") - 1
+    below = [sum((F.col(c) for c in shares[: b + 1]), F.lit(0.0)) for b in k[:-1]]
+    rps = sum((F.pow(x - (a <= b).cast("double"), 2) for b, x in enumerate(below)), F.lit(0.0)) / (len(shares) - 1)
+    own = F.element_at(F.array(*shares), (a + 1).cast("int"))
+    sums = [F.count_if((a == c) & (p == c)).alias(f"tp{c}") for c in k] + [F.count_if((a != c) & (p == c)).alias(f"fp{c}") for c in k] + [F.count_if((a == c) & (p != c)).alias(f"fn{c}") for c in k]
+    out = known.groupBy(*group).agg(
+        F.avg((a == p).cast("double")).alias("accuracy"), F.avg(F.abs(a - p).cast("double")).alias("ordinal_mae"), F.avg(rps).alias("ranked_probability_score"), (-F.avg(F.log(F.greatest(own, F.lit(1e-9))))).alias("multiclass_log_loss"), *sums
+    )
+    recall = {c: F.col(f"tp{c}") / F.greatest(F.col(f"tp{c}") + F.col(f"fn{c}"), F.lit(1)) for c in k}
+    precision = {c: F.col(f"tp{c}") / F.greatest(F.col(f"tp{c}") + F.col(f"fp{c}"), F.lit(1)) for c in k}
+    f1 = sum((2 * precision[c] * recall[c] / F.greatest(precision[c] + recall[c], F.lit(1e-9)) for c in k), F.lit(0.0)) / len(shares)
+    return out.select(*group, "accuracy", f1.alias("macro_f1"), (sum(recall.values(), F.lit(0.0)) / len(shares)).alias("balanced_accuracy"), "ordinal_mae", "ranked_probability_score", "multiclass_log_loss")
+
+
 def winners(measured: DataFrame, keys: list[str], value: str, baseline: str = "seasonal_naive") -> DataFrame:
     """Best model of each series and horizon (the first name on ties), its value, the baseline's, and the skill against it."""
     best = measured.groupBy(*keys, "horizon").agg(F.min(F.struct(F.col(value).alias("v"), "model")).alias("b"), F.max(F.when(F.col("model") == baseline, F.col(value))).alias("baseline"))

@@ -62,8 +62,9 @@ def hot_spots(panel: DataFrame, group: list[str], place: str, value: str, edges:
 def semivariogram(points: DataFrame, group: list[str], place: str, value: str, x: Column, y: Column, bins: int = 10) -> DataFrame:
     """Mean half squared difference by distance class (equal widths up to the largest distance of the group).
 
-    Pairs of places within a group: for reference lists of places, whose number is bounded.
+    Pairs of places within a group: for reference lists of places, at most MOST_PLACES; a longer list is refused.
     """
+    _few(points, place)
     p = points.where(F.col(value).isNotNull()).select(*group, F.col(place).alias("p"), F.col(value).alias("v"), x.alias("x"), y.alias("y"))
     a, b = (p.select(*group, *[F.col(c).alias(f"{c}_{s}") for c in ("p", "v", "x", "y")]) for s in "ab")
     pairs = a.join(b, group).where("p_a < p_b").select(*group, F.sqrt(F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)).alias("h"), (F.pow(F.col("v_a") - F.col("v_b"), 2) / 2).alias("g"))
@@ -72,6 +73,23 @@ def semivariogram(points: DataFrame, group: list[str], place: str, value: str, x
     return pairs.join(longest, group).where("top > 0").groupBy(*group, k.alias("bin")).agg(F.count(F.lit(1)).alias("pairs"), F.avg("h").alias("distance"), F.avg("g").alias("semivariance"))
 
 
+def variogram_range(classes: DataFrame, group: list[str], share: float = 0.95) -> DataFrame:
+    """(group, sill, range): the largest semivariance, and the mean distance of the nearest class that reaches ``share`` of it."""
+    top = classes.groupBy(*group).agg(F.max("semivariance").alias("sill"))
+    reached = classes.join(top, group).where(F.col("semivariance") >= share * F.col("sill"))
+    return reached.groupBy(*group).agg(F.max("sill").alias("sill"), F.min(F.struct("bin", "distance"))["distance"].alias("range"))
+
+
+#: Places up to which all their pairs are compared; a longer list is refused, not cut.
+MOST_PLACES = 5_000
+
+
+def _few(df: DataFrame, place: str) -> None:
+    many = df.agg(F.count_distinct(place)).first()[0]
+    if many > MOST_PLACES:
+        raise ValueError(f"{many} places have more pairs than are compared at once (at most {MOST_PLACES} places)")
+
+
 def hotspot_classes(scores: DataFrame, place: str, score: str, cut: float = 1.96) -> DataFrame:
     """Trajectory of each place over its periods: persistent, new, consecutive, sporadic, coldspot or no_pattern."""
     order = Window.partitionBy(place).orderBy(F.desc("period_start"))
@@ -90,8 +108,9 @@ def hotspot_classes(scores: DataFrame, place: str, score: str, cut: float = 1.96
 def rank_correlation(panel: DataFrame, place: str, value: str) -> DataFrame:
     """Spearman correlation of each pair of places over the periods both have (ranks within each place, averaged on ties); null where one of them does not vary.
 
-    Pairs of a reference list of places; each pair meets by period.
+    Pairs of a reference list of places, at most MOST_PLACES (a longer list is refused); each pair meets by period.
     """
+    _few(panel, place)
     order = Window.partitionBy(place).orderBy(value)
     rank = F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(place, value)) - 1) / 2
     r = panel.where(F.col(value).isNotNull()).select(place, "period_start", rank.alias("r"))

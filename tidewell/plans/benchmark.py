@@ -40,6 +40,13 @@ def _alarms(s, d):
     return x.select("nation", (F.col("value") > F.col("threshold")).cast("int").alias("y"), F.least(F.col("value") / (F.col("threshold") + 1), F.lit(1.0)).alias("score"))
 
 
+def _votes(s, d):
+    """The shares of the simple models that foresee each class, next to the class that came."""
+    cut = lambda c: F.least(F.floor(F.col(c) / 2), F.lit(2)).cast("int")
+    f = _folds(s, d).select("nation", "segment", "horizon", "origin", cut("actual").alias("actual_class"), cut("predicted").alias("c"))
+    return f.groupBy("nation", "segment", "horizon", "origin", "actual_class").agg(*[F.avg((F.col("c") == k).cast("double")).alias(f"p{k}") for k in range(3)])
+
+
 def _classes(s, d):
     f = _folds(s, d).where("horizon = 1 and model = 'naive'")
     return f.select("nation", F.least(F.floor(F.col("actual") / 2), F.lit(2)).cast("int").alias("actual_class"), F.least(F.floor(F.col("predicted") / 2), F.lit(2)).cast("int").alias("predicted_class"))
@@ -71,6 +78,8 @@ def queries() -> dict:
         "seasonal_threshold": lambda s, d: _round(m.outbreak_threshold(_spine(s, d), KEYS)),
         "binary_metrics": lambda s, d: _round(m.binary_scores(_alarms(s, d), ["nation"], "y", "score")),
         "risk_metrics": lambda s, d: _round(m.class_scores(_classes(s, d), ["nation"], "actual_class", "predicted_class")),
+        "risk_probabilities": lambda s, d: _round(m.probability_scores(_votes(s, d), ["nation", "horizon"], "actual_class", ["p0", "p1", "p2"])),
+        "variogram_range": lambda s, d: _round(sp.variogram_range(queries()["semivariogram_bins"](s, d), ["year"])),
         "fdr_bh": lambda s, d: _round(m.false_discovery(_tests(s, d), ["segment"], "p_value")),
         "ears_alarms": lambda s, d: _round(m.ears(panels.by_nation(s, d), ["nation"], "cases"), 6),
         "cusum_alarms": lambda s, d: _round(m.cusum(panels.by_nation(s, d), ["nation"], "cases"), 6),
@@ -111,6 +120,11 @@ sm as (select o.{group}, o.nation, sum(v.cases) x, count(*) k from {rel} o join
 gi as (select sm.{group}, nation, case when n > 1 and s * sqrt((n * k - k * k) / nullif(n - 1, 0)) > 0 then (x - m * k) / (s * sqrt((n * k - k * k) / nullif(n - 1, 0))) end as gi_star from sm join st using ({group}))"""
 
 
+def _variogram_sql() -> str:
+    return f"""with {_E}, pt as (select year, nation, cases v, n_nationkey % 5 x, n_nationkey // 5 yy from y join nation on n_name = nation), pr as (select a.year, sqrt((a.x - b.x) ** 2 + (a.yy - b.yy) ** 2) h, (a.v - b.v) ** 2 / 2 g from pt a join pt b on a.year = b.year and a.nation < b.nation),
+tp as (select year, max(h) top from pr group by 1) select year, cast(least(floor(h / top * 10), 9) as integer) as bin, count(*) as pairs, round(avg(h), 9) as distance, round(avg(g), 9) as semivariance from pr join tp using (year) where top > 0 group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     thr = f"{_T}, th as (select nation, segment, period_start, t, value, value is not null as present, case when count(v) over p >= 3 then avg(v) over p + 2 * stddev_pop(v) over p end as threshold from q window p as (partition by nation, segment, t % 12 order by t rows between unbounded preceding and 1 preceding))"
     return {
@@ -149,6 +163,15 @@ select nation, round(brier, 9) as brier, tp, fp, fn, tn, round(case when p > 0 a
         "risk_metrics": f"""with {_F}, cl as (select nation, cast(least(floor(actual / 2), 2) as integer) a, cast(least(floor(predicted / 2), 2) as integer) p from folds where horizon = 1 and model = 'naive')
 select nation, round(avg(case when a = p then 1.0 else 0.0 end), 9) as accuracy, round((coalesce(2 * count(*) filter (a = 0 and p = 0) / nullif(count(*) filter (a = 0) + count(*) filter (p = 0), 0), 0) + coalesce(2 * count(*) filter (a = 1 and p = 1) / nullif(count(*) filter (a = 1) + count(*) filter (p = 1), 0), 0)
  + coalesce(2 * count(*) filter (a = 2 and p = 2) / nullif(count(*) filter (a = 2) + count(*) filter (p = 2), 0), 0)) / 3, 9) as macro_f1, round(avg(abs(a - p)), 9) as distance from cl group by 1""",
+        "risk_probabilities": f"""with {_F}, vt as (select nation, segment, horizon, origin, cast(least(floor(actual / 2), 2) as integer) a, avg(case when least(floor(predicted / 2), 2) = 0 then 1.0 else 0.0 end) p0,
+ avg(case when least(floor(predicted / 2), 2) = 1 then 1.0 else 0.0 end) p1, avg(case when least(floor(predicted / 2), 2) = 2 then 1.0 else 0.0 end) p2 from folds group by nation, segment, horizon, origin, actual),
+vp as (select *, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end p from vt), kl as (select unnest([0, 1, 2]) c),
+pc as (select nation, horizon, c, count(*) filter (a = c and p = c) tp, count(*) filter (a = c) ac, count(*) filter (p = c) pd from vp, kl group by 1, 2, 3),
+mc as (select nation, horizon, avg(tp / greatest(ac, 1)) as balanced_accuracy, avg(2 * (tp / greatest(pd, 1)) * (tp / greatest(ac, 1)) / greatest(tp / greatest(pd, 1) + tp / greatest(ac, 1), 1e-9)) as macro_f1 from pc group by 1, 2),
+ov as (select nation, horizon, avg(case when a = p then 1.0 else 0.0 end) as accuracy, avg(abs(a - p)) as ordinal_mae, avg(((p0 - case when a <= 0 then 1 else 0 end) ** 2 + (p0 + p1 - case when a <= 1 then 1 else 0 end) ** 2) / 2) as rps, -avg(ln(greatest(case a when 0 then p0 when 1 then p1 else p2 end, 1e-9))) as ll from vp group by 1, 2)
+select nation, horizon, round(accuracy, 9) as accuracy, round(macro_f1, 9) as macro_f1, round(balanced_accuracy, 9) as balanced_accuracy, round(ordinal_mae, 9) as ordinal_mae, round(rps, 9) as ranked_probability_score, round(ll, 9) as multiclass_log_loss from ov join mc using (nation, horizon)""",
+        "variogram_range": "with sv as (" + _variogram_sql() + """), t as (select *, max(semivariance) over (partition by year) sill from sv)
+select year, round(max(sill), 9) as sill, round(arg_min(distance, bin), 9) as "range" from t where semivariance >= 0.95 * sill group by year""",
         "fdr_bh": f"""with {panels._CASES}, ts as (select segment, nation, year(period_start) as year, round(1 / (1 + sum(cases)), 6) as p_value from g group by 1, 2, 3), r as (select *, count(*) over (partition by segment order by p_value) k, count(*) over (partition by segment) n from ts)
 select segment, nation, year, p_value, round(least(greatest(min(p_value * n / k) over (partition by segment order by p_value desc range unbounded preceding), 0.0), 1.0), 9) as q_value from r""",
         "ears_alarms": f"""with {panels._CASES}, a as (select nation, period_start, cases, case when count(*) over c1 = 7 then (cases - avg(cases) over c1) / greatest(stddev_pop(cases) over c1, 0.5) end c1, case when count(*) over c2 = 7 then (cases - avg(cases) over c2) / greatest(stddev_pop(cases) over c2, 0.5) end c2 from n
@@ -163,8 +186,7 @@ select nation, round(greatest(max(x), 0.0), 6) as cusum from t group by 1""",  #
         "hotspot_classes": f"""with {_E}, {_gi('period_start', 'n')}, mk as (select *, gi_star >= 1.96 hot, gi_star <= -1.96 cold, row_number() over (partition by nation order by period_start desc) k from gi),
 a as (select nation, avg(case when hot then 1.0 when hot is not null then 0.0 end) hs, avg(case when cold then 1.0 when cold is not null then 0.0 end) cs, bool_or(case when k = 1 then hot end) lh, count(*) filter (hot and k > 1) hb, count(*) filter (hot and k <= 3) hl, least(count(*), 3) rc from mk group by 1)
 select nation, round(hs, 9) as hot_share, round(cs, 9) as cold_share, case when hs >= 0.9 then 'persistent' when lh and hb = 0 then 'new' when hl = rc then 'consecutive' when hs > 0 then 'sporadic' when cs >= 0.5 then 'coldspot' else 'no_pattern' end as trajectory from a""",
-        "semivariogram_bins": f"""with {_E}, pt as (select year, nation, cases v, n_nationkey % 5 x, n_nationkey // 5 yy from y join nation on n_name = nation), pr as (select a.year, sqrt((a.x - b.x) ** 2 + (a.yy - b.yy) ** 2) h, (a.v - b.v) ** 2 / 2 g from pt a join pt b on a.year = b.year and a.nation < b.nation),
-tp as (select year, max(h) top from pr group by 1) select year, cast(least(floor(h / top * 10), 9) as integer) as bin, count(*) as pairs, round(avg(h), 9) as distance, round(avg(g), 9) as semivariance from pr join tp using (year) where top > 0 group by 1, 2""",
+        "semivariogram_bins": _variogram_sql(),
         "spearman_pairs": f"""with {panels._CASES}, r as (select nation, period_start, rank() over (partition by nation order by cases) + (count(*) over (partition by nation, cases) - 1) / 2.0 r from n)
 select a.nation as place_a, b.nation as place_b, count(*) as periods, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) + 0.0 as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
     }
