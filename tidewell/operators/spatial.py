@@ -91,15 +91,25 @@ def _few(df: DataFrame, place: str) -> None:
 
 
 def hotspot_classes(scores: DataFrame, place: str, score: str, cut: float = 1.96) -> DataFrame:
-    """Trajectory of each place over its periods: persistent, new, consecutive, sporadic, coldspot or no_pattern."""
+    """Trajectory of each place over its periods: persistent, new, consecutive, intensifying, diminishing, sporadic, coldspot or no_pattern.
+
+    Intensifying and diminishing places are hot half of the time with a trend in their scores: Kendall's rank statistic over all pairs of
+    periods beyond 1.96 of its deviations (corrected for ties), from four periods on. The scores of a place are one array, as long as the calendar.
+    """
     order = Window.partitionBy(place).orderBy(F.desc("period_start"))
-    marked = scores.withColumn("hot", F.col(score) >= cut).withColumn("cold", F.col(score) <= -cut).withColumn("back", F.row_number().over(order))
+    marked = scores.withColumn("hot", F.col(score) > cut).withColumn("cold", F.col(score) < -cut).withColumn("back", F.row_number().over(order))
     g = marked.groupBy(place).agg(
         F.avg(F.col("hot").cast("double")).alias("hot_share"), F.avg(F.col("cold").cast("double")).alias("cold_share"), F.max(F.when(F.col("back") == 1, F.col("hot"))).alias("last_hot"),
         F.count_if(F.col("hot") & (F.col("back") > 1)).alias("hot_before"), F.count_if(F.col("hot") & (F.col("back") <= 3)).alias("hot_last"), F.least(F.count(F.lit(1)), F.lit(3)).alias("recent"),
+        F.array_sort(F.collect_list(F.when(F.col(score).isNotNull(), F.struct("period_start", F.col(score).alias("z"))))).alias("s"),
     )
+    rise = F.expr("""aggregate(transform(s, (x, i) -> aggregate(slice(s, i + 2, size(s)), 0, (a, y) -> a + int(sign(y.z - x.z)))), 0, (a, v) -> a + v)""")
+    ties = F.expr("aggregate(transform(array_distinct(transform(s, x -> x.z)), v -> size(filter(s, x -> x.z = v))), 0D, (a, t) -> a + t * (t - 1) * (2 * t + 5))")
+    n = F.size("s")
+    g = g.withColumn("trend", F.when(n >= 4, F.try_divide(rise, F.sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18))))
     kind = (
         F.when(F.col("hot_share") >= 0.9, "persistent").when(F.col("last_hot") & (F.col("hot_before") == 0), "new").when(F.col("hot_last") == F.col("recent"), "consecutive")
+        .when((F.col("hot_share") >= 0.5) & (F.col("trend") > 1.959963984540054), "intensifying").when((F.col("hot_share") >= 0.5) & (F.col("trend") < -1.959963984540054), "diminishing")
         .when(F.col("hot_share") > 0, "sporadic").when(F.col("cold_share") >= 0.5, "coldspot").otherwise("no_pattern")
     )
     return g.select(place, "hot_share", "cold_share", kind.alias("trajectory"))

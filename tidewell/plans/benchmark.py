@@ -183,9 +183,11 @@ select nation, round(greatest(max(x), 0.0), 6) as cusum from t group by 1""",  #
         "moran_geary": f"with {_E} select year, max(n) as places, round(max(n) / sum(ws) * sum(z * lag) / max(ss), 9) as moran_i, round(-1.0::double / nullif(max(n) - 1, 0), 9) as expected_i, round((max(n) - 1) * sum(df) / (2 * sum(ws) * max(ss)), 9) as geary_c from lg group by 1",
         "local_moran": f"with {_E} select year, nation, round(z * lag * (n - 1) / ss, 9) as local_i, case when z > 0 then 'high' else 'low' end || '-' || case when lag > 0 then 'high' else 'low' end as quadrant from lg",
         "getis_ord_z": f"with {_E}, {_gi('year', 'y')} select year, nation, round(gi_star, 9) as gi_star from gi",
-        "hotspot_classes": f"""with {_E}, {_gi('period_start', 'n')}, mk as (select *, gi_star >= 1.96 hot, gi_star <= -1.96 cold, row_number() over (partition by nation order by period_start desc) k from gi),
-a as (select nation, avg(case when hot then 1.0 when hot is not null then 0.0 end) hs, avg(case when cold then 1.0 when cold is not null then 0.0 end) cs, bool_or(case when k = 1 then hot end) lh, count(*) filter (hot and k > 1) hb, count(*) filter (hot and k <= 3) hl, least(count(*), 3) rc from mk group by 1)
-select nation, round(hs, 9) as hot_share, round(cs, 9) as cold_share, case when hs >= 0.9 then 'persistent' when lh and hb = 0 then 'new' when hl = rc then 'consecutive' when hs > 0 then 'sporadic' when cs >= 0.5 then 'coldspot' else 'no_pattern' end as trajectory from a""",
+        "hotspot_classes": f"""with {_E}, {_gi('period_start', 'n')}, mk as (select *, gi_star > 1.96 hot, gi_star < -1.96 cold, row_number() over (partition by nation order by period_start desc) k from gi),
+a as (select nation, avg(case when hot then 1.0 when hot is not null then 0.0 end) hs, avg(case when cold then 1.0 when cold is not null then 0.0 end) cs, bool_or(case when k = 1 then hot end) lh, count(*) filter (hot and k > 1) hb, count(*) filter (hot and k <= 3) hl, least(count(*), 3) rc from mk group by 1),
+pr as (select x.nation, sum(sign(y.gi_star - x.gi_star)) rise from gi x join gi y on x.nation = y.nation and x.period_start < y.period_start group by 1), tie as (select nation, sum(t * (t - 1) * (2 * t + 5)) e, sum(t) n from (select nation, gi_star, count(*) t from gi where gi_star is not null group by 1, 2) group by 1),
+kt as (select nation, case when n >= 4 then rise / nullif(sqrt((n * (n - 1) * (2 * n + 5) - e) / 18), 0) end tau from pr join tie using (nation))
+select nation, round(hs, 9) as hot_share, round(cs, 9) as cold_share, case when hs >= 0.9 then 'persistent' when lh and hb = 0 then 'new' when hl = rc then 'consecutive' when hs >= 0.5 and tau > 1.959963984540054 then 'intensifying' when hs >= 0.5 and tau < -1.959963984540054 then 'diminishing' when hs > 0 then 'sporadic' when cs >= 0.5 then 'coldspot' else 'no_pattern' end as trajectory from a left join kt using (nation)""",
         "semivariogram_bins": _variogram_sql(),
         "spearman_pairs": f"""with {panels._CASES}, r as (select nation, period_start, rank() over (partition by nation order by cases) + (count(*) over (partition by nation, cases) - 1) / 2.0 r from n)
 select a.nation as place_a, b.nation as place_b, count(*) as periods, round(covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0), 6) + 0.0 as spearman from r a join r b on a.period_start = b.period_start and a.nation < b.nation group by 1, 2""",
