@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import audits as a
@@ -33,26 +33,42 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "metadata_dataset").select("dataset_id", F.col("dataset_name").alias("title"))
 
 
-def queries() -> dict[str, Query]:
-    checks = {"value": F.col("value_numeric").isNotNull(), "period": F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), "place": a.stated("admin_1"), "facility": a.stated("facility_name"),
-              "unit": a.stated("unit"), "sex": a.stated("sex"), "species": a.stated("species"), "definition": a.stated("case_definition")}
-    levels = {"admin1": F.col("admin_1"), "admin2": F.col("admin_2"), "admin3": F.col("admin_3"), "admin4": F.col("admin_4")}
-    sex = F.when(F.lower(F.trim("sex")).isin("male", "m", "laki-laki", "l"), "male").when(F.lower(F.trim("sex")).isin("female", "f", "perempuan", "p"), "female")
+def _checks() -> dict[str, Column]:
+    stated = {"place": "admin_1", "facility": "facility_name", "unit": "unit", "sex": "sex", "species": "species", "definition": "case_definition"}
+    return {"value": F.col("value_numeric").isNotNull(), "period": F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), **{k: a.stated(c) for k, c in stated.items()}}
+
+
+def _levels() -> dict[str, Column]:
+    return {f"admin{k}": F.col(f"admin_{k}") for k in range(1, 5)}
+
+
+def _sex() -> Column:
+    word = F.lower(F.trim("sex"))
+    return F.when(word.isin("male", "m", "laki-laki", "l"), "male").when(word.isin("female", "f", "perempuan", "p"), "female")
+
+
+def _abstracts(s: SparkSession, d: str) -> DataFrame:
+    """Abstracts taken apart into inverted indexes and put together again."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
     index = F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.filter(F.transform("words", lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())))
+    split = table(s, d, "documents").where("doc_type = 'abstract'").select("doc_id", words.alias("words"))
+    return split.select("doc_id", n.restored_text(F.map_from_entries(index)).alias("abstract"))
+
+
+def queries() -> dict[str, Query]:
     return {
         "canonical_columns": lambda s, d: n.canonical(table(s, d, "research_panel_observation"), PANEL, {"native_record": True}),
         "measure_columns": lambda s, d: n.measure_columns(table(s, d, "bronze_record")).withColumn("numeric_share", F.round("numeric_share", 9)),
         "measure_sums": lambda s, d: n.measure_sums(table(s, d, "bronze_record")).withColumn("total", F.round("total", 6)),
         "canonical_rows": lambda s, d: n.canonical_rows(table(s, d, "bronze_record"), _titles(s, d)),
-        "admin_levels": lambda s, d: _silver(s, d).select("silver_observation_id", n.admin_level(F.col("spatial_resolution"), levels).alias("admin_level")),
+        "admin_levels": lambda s, d: _silver(s, d).select("silver_observation_id", n.admin_level(F.col("spatial_resolution"), _levels()).alias("admin_level")),
         "count_faults": lambda s, d: _silver(s, d).select(F.coalesce(n.count_fault(F.col("value_numeric")), F.lit("none")).alias("fault")).groupBy("fault").agg(F.count(F.lit(1)).alias("rows")),
-        "restored_abstracts": lambda s, d: table(s, d, "documents").where("doc_type = 'abstract'").select("doc_id", words.alias("words")).select("doc_id", n.restored_text(F.map_from_entries(index)).alias("abstract")),
+        "restored_abstracts": _abstracts,
         "safe_ids": lambda s, d: table(s, d, "modeling_series").select(n.safe_id(F.concat_ws("/", "source_id", "source_subunit")).alias("panel_id")).distinct(),
         "quality_summary": lambda s, d: a.quality_summary(_silver(s, d), ["disease", "metric", "spatial_resolution", "temporal_resolution"], "period_start", "period_end", "value_numeric", "dataset_id", "source_id"),
-        "usable_proportions": lambda s, d: a.usable_shares(_silver(s, d), "silver_observation", checks),
+        "usable_proportions": lambda s, d: a.usable_shares(_silver(s, d), "silver_observation", _checks()),
         "occurrence_summary": lambda s, d: a.occurrence_summary(_silver(s, d), "species", a.stated("admin_2"), "period_start", "dataset_id"),
-        "complete_totals": lambda s, d: a.complete_totals(_silver(s, d), ["dataset_id", "metric", "period_start"], sex, ["male", "female"], "value_numeric").withColumn("total", F.round("total", 6)),
+        "complete_totals": lambda s, d: a.complete_totals(_silver(s, d), ["dataset_id", "metric", "period_start"], _sex(), ["male", "female"], "value_numeric").withColumn("total", F.round("total", 6)),
         "key_coverage": lambda s, d: a.key_coverage(table(s, d, "modeling_series"), "source_id", ["source_subunit", "period_start"], "period_start"),
         "baseline_verdicts": lambda s, d: a.verdicts(_panel(s, d).where("status = 'conflict'").drop("status"), _panel(s, d).where("status = 'valid'"), KEY, "value"),
         "baseline_merge": lambda s, d: a.merge_one(
